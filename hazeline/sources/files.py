@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from hazeline import schemas as S
 
+# Blanks around a value belong to it.
+CSV_SPACES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def with_audit(df: DataFrame, source_format: str, source_file: str | Column | None = None) -> DataFrame:
     """Stamp ingest time, source file and format. The file is that of the scan unless given."""
@@ -39,7 +42,7 @@ def read_csv_audited(
 ) -> DataFrame:
     """CSV with a header line. The schema is given, so the files are read once, and
     only the columns a query uses are parsed."""
-    rows = spark.read.schema(schema).option("header", True).csv(path)
+    rows = spark.read.schema(schema).options(header=True, **CSV_SPACES).csv(path)
     return with_audit(rows, "csv")
 
 
@@ -93,7 +96,7 @@ def read_csv_preamble(
         _drop_leading_lines(skip + int(header)), "_line string, _source_file string"
     ).filter(F.trim("_line") != "")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return body.select(F.from_csv("_line", fields).alias("_row"), "_source_file").select(
+    return body.select(F.from_csv("_line", fields, CSV_SPACES).alias("_row"), "_source_file").select(
         "_row.*", "_source_file"
     )
 

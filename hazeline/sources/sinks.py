@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hazeline.sources.files import CSV_SPACES
+
 LAYERS = ["bronze", "silver", "gold"]
 CLUSTER_KEYS = ["country", "city", "date"]
 
@@ -27,7 +29,7 @@ def overwrite_table(df: DataFrame, table: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **CSV_SPACES).csv(path)
 
 
 def clustered(df: DataFrame, keys: Sequence[str] = tuple(CLUSTER_KEYS)) -> DataFrame:

@@ -19,8 +19,11 @@ def landed_stream(
     path: str,
     schema: T.StructType = S.READING,
     files_per_trigger: int | None = None,
+    name_glob: str | None = None,
 ) -> DataFrame:
     reader = spark.readStream.schema(schema)
+    if name_glob:
+        reader = reader.option("pathGlobFilter", name_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
@@ -43,9 +46,10 @@ def load_new(
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = reduce(expect_or_drop(batch, gates))
+        fresh = reduce(expect_or_drop(batch, gates)).persist()
         target = spark.read.schema(fresh.schema).parquet(out)
         only_new(fresh, target, keys).write.mode("append").parquet(out)
+        fresh.unpersist()
 
     empty = stream.sparkSession.createDataFrame([], stream.schema)
     reduce(empty).write.mode("ignore").parquet(out)
