@@ -2,14 +2,15 @@
 
 No hint is set: location tables grow with the data, so Spark compares their size
 with its broadcast threshold and otherwise sorts and merges, splitting skewed
-partitions at run time.
+partitions at run time. Rows of a left join that have no key to look up would all
+meet in one task; they get scattered keys that match nothing instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -25,9 +26,26 @@ def attach_location(
     return fact.join(dim.select(*PLACE_KEYS, *columns), PLACE_KEYS, "left")
 
 
+# Starts a key that no table holds.
+NO_MATCH = "\u0001"
+SCATTER = 4096
+
+
+def scattered(key: Column, present: Column, *spread: str) -> Column:
+    """The key where present, else one of ``SCATTER`` keys that match nothing."""
+    bucket = F.pmod(F.xxhash64(*spread), F.lit(SCATTER)).cast("string")
+    return F.when(present, key).otherwise(F.concat(F.lit(NO_MATCH), bucket))
+
+
 def join_location_key(fact: DataFrame, dim: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Left join on the surrogate key."""
-    return fact.join(dim.select("location_key", *columns), "location_key", "left")
+    """Left join on the surrogate key. The key of the result is that of the location
+    table: NULL for rows without a match."""
+    key = F.col("location_key")
+    places = dim.select(key.alias("_key"), key.alias("_matched"), *columns)
+    keyed = fact.withColumn("_key", scattered(key, key.isNotNull(), *PLACE_KEYS, "date"))
+    return (
+        keyed.join(places, "_key", "left").withColumn("location_key", F.col("_matched"))
+    ).drop("_key", "_matched")
 
 
 def join_location_inner(fact: DataFrame, dim: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -43,12 +61,16 @@ def join_dates(fact: DataFrame, dim: DataFrame, columns: Sequence[str]) -> DataF
 
 def fill_country_join(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """``fill_country`` with the mapping as a table of (city, code), for mappings too
-    long to write down. Only rows that lack a country carry a join key."""
+    long to write down. Of several codes for a city the smallest counts."""
     lacks = F.col("country").isNull() | (F.col("country") == S.UNKNOWN)
-    lookup = mapping.select(
-        F.lower(F.trim("city")).alias("_city_key"), F.col("code").alias("_code")
-    ).dropDuplicates(["_city_key"])
-    keyed = df.withColumn("_city_key", F.when(lacks, F.lower(F.trim("city"))))
+    city_key = F.lower(F.trim("city"))
+    lookup = (
+        mapping.select(city_key.alias("_city_key"), F.col("code").alias("_code"))
+        .groupBy("_city_key")
+        .agg(F.min("_code").alias("_code"))
+    )
+    wanted = F.coalesce(lacks & F.col("city").isNotNull(), F.lit(False))
+    keyed = df.withColumn("_city_key", scattered(city_key, wanted, *df.columns))
     return (
         keyed.join(lookup, "_city_key", "left")
         .withColumn("country", F.coalesce("_code", "country"))

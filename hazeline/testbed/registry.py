@@ -390,13 +390,22 @@ def unique_locations(spark, d):
 )
 def dim_pollutants(spark, d):
     """The pollutant dimension with the readings that refer to it and how many exceed
-    its daily guideline."""
+    its daily guideline. Readings are counted per species before the join."""
     pollutants = dims.dim_pollutants(spark)
-    names = [n for n in pollutants.columns if n != "pollutant_key"]
-    limit = F.col("who_guideline_24h")
-    used = clean(spark, d).join(pollutants, F.col("specie") == F.col("specie_name"), "right")
-    return used.groupBy("pollutant_key", *names).agg(
-        F.count("specie").alias("n_readings"), F.count_if(F.col("median") > limit).alias("n_above")
+    used = clean(spark, d).groupBy("specie").agg(
+        F.count("*").alias("n_readings"),
+        *[
+            F.count_if((F.col("specie") == name) & (F.col("median") > limit)).alias(f"_{name}")
+            for name, limit in S.DAILY_LIMIT.items()
+            if limit is not None
+        ],
+    )
+    above = sum((F.col(f"_{n}") for n, v in S.DAILY_LIMIT.items() if v is not None), F.lit(0))
+    counts = used.select("specie", "n_readings", above.cast("bigint").alias("n_above"))
+    return (
+        pollutants.join(counts, F.col("specie_name") == F.col("specie"), "left")
+        .drop("specie")
+        .fillna(0, ["n_readings", "n_above"])
     )
 
 
@@ -529,7 +538,9 @@ def weighted_mean(spark, d):
 )
 def benchmark_mean(spark, d):
     countries = compare.peer_country_stats(fact(spark, d), locations(spark, d))
-    return rounded(compare.benchmark_mean(countries), ["benchmark_avg_pm25"])
+    return rounded(
+        compare.benchmark_mean(countries).select("benchmark_avg_pm25"), ["benchmark_avg_pm25"]
+    )
 
 
 VIEW_DOUBLES = CITY_DOUBLES + ["deviation_from_who", "benchmark_avg_pm25", "vs_benchmark"]
