@@ -65,11 +65,13 @@ def fill_country(
 ) -> Column:
     """Country from the city where it is NULL or unknown; unmatched rows keep what they had.
     For a mapping that is itself a table see ``operators.joins.fill_country_join``."""
+    found = F.when(country.isNull() | (country == S.UNKNOWN), country_of_city(city, city_map))
+    return F.coalesce(found, country)
+
+
+def country_of_city(city: Column, city_map: Mapping[str, str] = S.CITY_COUNTRY) -> Column:
     pairs = [F.lit(part) for pair in city_map.items() for part in pair]
-    found = F.try_element_at(F.create_map(*pairs), F.lower(F.trim(city)))
-    return F.when(
-        country.isNull() | (country == S.UNKNOWN), F.coalesce(found, country)
-    ).otherwise(country)
+    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(city)))
 
 
 def first_word(c: Column) -> Column:

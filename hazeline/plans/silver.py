@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
-from hazeline.functions.text import clean_city, fill_country, normalise_country, parse_date
+from hazeline.functions.text import (
+    clean_city,
+    country_of_city,
+    fill_country,
+    normalise_country,
+    parse_date,
+)
 from hazeline.operators.dedup import dedup_best
-from hazeline.operators.quality import CLEAN_GATES, expect_or_drop
 from hazeline.operators.sets import union_sources
 
 
@@ -27,21 +32,31 @@ def standardised(
     city_map: Mapping[str, str] = S.CITY_COUNTRY,
 ) -> DataFrame:
     """Union of all sources with dates parsed, countries and cities standardised and
-    the row gates applied. Row-wise only: no shuffle. The gates come before the
-    deduplication, which they do not affect (they test its keys), so that rows
-    without a key never meet in one task."""
+    the row gates applied. Row-wise only: no shuffle.
+
+    The gates come before the deduplication, which they do not affect (they test its
+    keys), so that rows without a key never meet in one task. They are also put in
+    terms of the columns as landed: a filter on the cleaned columns would be pushed
+    below them with the whole cleaning expression in it."""
     sources = [
         drop_audit(df).withColumn("date", parse_date(F.col("date"))).select(*S.READING_DATA.names)
         for df in (hist, *increments)
     ]
     country, city = F.col("country"), F.col("city")
-    named = (
-        union_sources(*sources)
-        .withColumn("country", normalise_country(country, aliases))
+    aliased = union_sources(*sources).withColumn("country", normalise_country(country, aliases))
+    # A city of the focus country is never missing once cleaned; a missing country can
+    # still come from the city.
+    complete = (
+        F.col("date").isNotNull()
+        & F.col("specie").isNotNull()
+        & (city.isNotNull() | (country == focus))
+        & (country.isNotNull() | country_of_city(city, city_map).isNotNull())
+    )
+    return (
+        aliased.filter(complete)
         .withColumn("city", clean_city(country, city, focus, cities))
         .withColumn("country", fill_country(country, city, city_map))
     )
-    return expect_or_drop(named, CLEAN_GATES)
 
 
 def readings_clean(hist: DataFrame, *increments: DataFrame, **options) -> DataFrame:

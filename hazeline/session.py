@@ -9,9 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Filters that Spark pushes below a long cleaning rule carry the rule along, and the
+# JVM leaves methods above this size to its interpreter. With the limit, Spark
+# compiles such a stage in pieces instead. Worth setting on a cluster too.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def local_session(name: str = "hazeline", cpus: int | str = "*") -> SparkSession:
     """Session for tests and the single-machine bench; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
@@ -20,8 +26,10 @@ def local_session(name: str = "hazeline", cpus: int | str = "*") -> SparkSession
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in TUNING.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:

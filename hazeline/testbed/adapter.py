@@ -43,10 +43,11 @@ def raw_city(
 
 
 def raw_country(code: Column, flag: Column) -> Column:
-    """The focus country and GB are spelled differently by return flag."""
-    focus = F.when(flag == "A", "Nigeria").when(flag == "N", " ngn ").otherwise("NG")
-    london = F.when(flag == "A", "Unknown").when(flag == "R", "GB")
-    return F.when(code == "NG", focus).when(code == "GB", london).otherwise(code)
+    """The focus country and GB are spelled differently by return flag; one spelling of
+    GB is missing."""
+    spelled = ["NGA", "Nigeria", "NGN", " ngn ", "NGR", "NG", "GBA", "Unknown", "GBR", "GB"]
+    spelling = F.try_element_at(F.create_map(*map(F.lit, spelled)), F.concat(code, flag))
+    return F.when(code.isin("NG", "GB"), spelling).otherwise(code)
 
 
 def shifted(day: Column) -> Column:
