@@ -1,8 +1,13 @@
 """Landed JSON payloads to rows.
 
-Payload text is parsed once into a VARIANT, which tells a missing key (default
-applies) from an explicit null (stays NULL), and tolerates entries of the wrong
-shape. Arrays are exploded row by row; nothing is grouped.
+Payload text is parsed once into a VARIANT and taken apart by one cast to the wanted
+shape. Fields with a default stay VARIANT there: a missing key reads NULL and gets
+the default, an explicit null does not. Whatever has another shape reads NULL
+without harm to its neighbours. Arrays are exploded row by row; nothing is grouped.
+
+Parsed documents are only exploded with the outer form, empties dropped afterwards:
+for the inner form, and for a filter on a parsed field, Spark would put a copy of the
+expression in front and parse every document again.
 """
 
 from __future__ import annotations
@@ -35,24 +40,51 @@ PLACES_DOC = (
 )
 
 
-def _get(v: Column | str, path: str, kind: str) -> Column:
-    return F.try_variant_get(v, path, kind)
+# Shapes of the payloads.
+LOCATION_PAGE = (
+    "struct<results: array<struct<name: variant, country: struct<name: variant>,"
+    "sensors: array<struct<id: bigint, parameter: struct<name: variant>>>>>>"
+)
+DAY_PAGE = (
+    "struct<results: array<struct<"
+    "summary: struct<count: variant, min: variant, max: variant, median: variant, sd: double>,"
+    "period: struct<datetimeFrom: struct<local: variant, utc: string>>>>>"
+)
+FEED_DOC = (
+    "struct<status: string, data: struct<city: struct<name: variant>,"
+    "time: struct<s: string>, iaqi: map<string, variant>>>"
+)
+SEARCH_DOC = (
+    "struct<status: string, data: array<struct<station: struct<name: string, geo: array<double>>>>>"
+)
+COORDINATES_PAGE = (
+    "struct<results: array<struct<name: string,"
+    "coordinates: struct<latitude: double, longitude: double>>>>"
+)
+
+
+def _shaped(payload: str, shape: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(payload), "$", shape)
 
 
-def _get_or(v: Column | str, path: str, kind: str, default) -> Column:
-    """Value at a path; the default only where the key is missing."""
-    missing = F.try_variant_get(v, path, "variant").isNull()
-    return F.when(missing, F.lit(default)).otherwise(F.try_variant_get(v, path, kind))
+def _value(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
 
 
-def _parsed(df: DataFrame, payload: str) -> DataFrame:
-    return df.withColumn("_doc", F.try_parse_json(payload))
+def _value_or(v: Column, kind: str, default) -> Column:
+    """The default only where the key is missing."""
+    return F.when(v.isNull(), F.lit(default)).otherwise(_value(v, kind))
+
+
+def _entries(df: DataFrame, array: str | Column, *keep: str) -> DataFrame:
+    """One row per array entry, as ``_e``."""
+    return df.select(*keep, F.explode_outer(array).alias("_e")).filter("_e IS NOT NULL")
 
 
 def places_documents(df: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per entry of each places document, still nested."""
     docs = df.select(F.from_json(payload, PLACES_DOC).alias("_doc"))
-    return docs.select(F.inline("_doc"))
+    return _entries(docs, "_doc").select("_e.*")
 
 
 def places_from_json(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -91,42 +123,35 @@ def stations_from_json(df: DataFrame, payload: str = "payload") -> DataFrame:
 def sensors_from_locations(df: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per sensor of each location: sensor_id, city, country, specie. A sensor
     listed again with the same attributes is kept once."""
-    location = (
-        _parsed(df, payload)
-        .select(F.explode(_get("_doc", "$.results", "array<variant>")).alias("_loc"))
-        .select(
-            _get_or("_loc", "$.name", "string", SENSOR_DEFAULTS["city"]).alias("city"),
-            _get_or("_loc", "$.country.name", "string", SENSOR_DEFAULTS["country"]).alias("country"),
-            F.explode(_get("_loc", "$.sensors", "array<variant>")).alias("_sensor"),
-        )
+    page = df.select(_shaped(payload, LOCATION_PAGE).alias("_page"))
+    location = _entries(page, "_page.results").select(
+        _value_or(F.col("_e.name"), "string", SENSOR_DEFAULTS["city"]).alias("city"),
+        _value_or(F.col("_e.country.name"), "string", SENSOR_DEFAULTS["country"]).alias("country"),
+        F.explode("_e.sensors").alias("_s"),
     )
     return location.select(
-        _get("_sensor", "$.id", "bigint").alias("sensor_id"),
+        F.col("_s.id").alias("sensor_id"),
         "city",
         "country",
-        _get_or("_sensor", "$.parameter.name", "string", SENSOR_DEFAULTS["specie"]).alias("specie"),
+        _value_or(F.col("_s.parameter.name"), "string", SENSOR_DEFAULTS["specie"]).alias("specie"),
     ).distinct()
 
 
 def sensor_days(df: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per sensor and day of the landed (sensor_id, payload) rows. Days
     without a readable date are out."""
-    day = _parsed(df, payload).select(
-        "sensor_id", F.explode(_get("_doc", "$.results", "array<variant>")).alias("_day")
-    )
-    start = _get("_day", "$.period.datetimeFrom", "variant")
-    local_missing = _get(start, "$.local", "variant").isNull()
-    stamp = F.when(local_missing, _get(start, "$.utc", "string")).otherwise(
-        _get(start, "$.local", "string")
-    )
-    sd = _get("_day", "$.summary.sd", "double")
+    page = df.select("sensor_id", _shaped(payload, DAY_PAGE).alias("_page"))
+    day = _entries(page, "_page.results", "sensor_id")
+    local, utc = F.col("_e.period.datetimeFrom.local"), F.col("_e.period.datetimeFrom.utc")
+    stamp = F.when(local.isNull(), utc).otherwise(_value(local, "string"))
+    sd = F.col("_e.summary.sd")
     rows = day.select(
         "sensor_id",
         F.split_part(stamp, F.lit("T"), F.lit(1)).alias("date"),
-        _get_or("_day", "$.summary.count", "int", 0).alias("count"),
-        _get_or("_day", "$.summary.min", "double", 0.0).alias("min"),
-        _get_or("_day", "$.summary.max", "double", 0.0).alias("max"),
-        _get_or("_day", "$.summary.median", "double", 0.0).alias("median"),
+        _value_or(F.col("_e.summary.count"), "int", 0).alias("count"),
+        _value_or(F.col("_e.summary.min"), "double", 0.0).alias("min"),
+        _value_or(F.col("_e.summary.max"), "double", 0.0).alias("max"),
+        _value_or(F.col("_e.summary.median"), "double", 0.0).alias("median"),
         F.coalesce(sd * sd, F.lit(0.0)).alias("variance"),
     )
     return rows.filter(strict_iso_date(F.col("date")).isNotNull())
@@ -152,18 +177,16 @@ def readings_from_city_feed(
     """Audited readings from landed (feed_name, payload) rows whose status is ok: one
     row per pollutant entry that is an object with a numeric ``v``."""
     stamp = _clock(ingest_ts)
-    feed = _parsed(df, payload).filter(_get("_doc", "$.status", "string") == "ok")
-    label = F.when(
-        _get("_doc", "$.data.city.name", "variant").isNull(), F.col("feed_name")
-    ).otherwise(_get("_doc", "$.data.city.name", "string"))
-    time_text = _get("_doc", "$.data.time.s", "string")
+    feed = df.select("feed_name", _shaped(payload, FEED_DOC).alias("_doc"))
+    good = F.col("_doc.status") == "ok"
+    name, time_text = F.col("_doc.data.city.name"), F.col("_doc.data.time.s")
     entry = feed.select(
-        label.alias("_label"),
+        F.when(name.isNull(), F.col("feed_name")).otherwise(_value(name, "string")).alias("_label"),
         F.when(F.coalesce(time_text, F.lit("")) != "", F.split_part(time_text, F.lit(" "), F.lit(1)))
         .otherwise(F.date_format(stamp, "yyyy-MM-dd"))
         .alias("date"),
         "feed_name",
-        F.explode(_get("_doc", "$.data.iaqi", "map<string,variant>")).alias("specie", "_entry"),
+        F.explode_outer(F.when(good, F.col("_doc.data.iaqi"))).alias("specie", "_entry"),
     )
     value = entry.select(
         "date",
@@ -171,7 +194,7 @@ def readings_from_city_feed(
         city_of_label(F.col("_label")).alias("city"),
         "specie",
         "feed_name",
-        _get("_entry", "$.v", "double").alias("v"),
+        F.try_variant_get("_entry", "$.v", "double").alias("v"),
     ).filter("v IS NOT NULL")
     return value.select(
         "date",
@@ -194,18 +217,15 @@ def stations_from_search(
 ) -> DataFrame:
     """Stations from landed search results whose status is ok; the city is the first
     word of the station name."""
-    hit = (
-        _parsed(df, payload)
-        .filter(_get("_doc", "$.status", "string") == "ok")
-        .select(F.explode(_get("_doc", "$.data", "array<variant>")).alias("_hit"))
-    )
-    name = _get("_hit", "$.station.name", "string")
-    return hit.select(
+    found = df.select(_shaped(payload, SEARCH_DOC).alias("_doc"))
+    hits = F.when(F.col("_doc.status") == "ok", F.col("_doc.data"))
+    station = _entries(found, hits).select("_e.station.*")
+    return station.select(
         F.lit(country).alias("country"),
-        first_word(name).alias("city"),
-        name.alias("station_name"),
-        _get("_hit", "$.station.geo[0]", "double").alias("station_lat"),
-        _get("_hit", "$.station.geo[1]", "double").alias("station_lon"),
+        first_word(F.col("name")).alias("city"),
+        F.col("name").alias("station_name"),
+        F.get("geo", 0).alias("station_lat"),
+        F.get("geo", 1).alias("station_lon"),
     )
 
 
@@ -213,14 +233,13 @@ def stations_from_locations(
     df: DataFrame, country: str = S.FOCUS_COUNTRY, payload: str = "payload"
 ) -> DataFrame:
     """Stations from landed location pages; coordinates may be missing."""
-    loc = _parsed(df, payload).select(
-        F.explode(_get("_doc", "$.results", "array<variant>")).alias("_loc")
-    )
-    return loc.select(
+    page = df.select(_shaped(payload, COORDINATES_PAGE).alias("_page"))
+    location = _entries(page, "_page.results")
+    return location.select(
         F.lit(country).alias("country"),
-        _get("_loc", "$.name", "string").alias("station_name"),
-        _get("_loc", "$.coordinates.latitude", "double").alias("station_lat"),
-        _get("_loc", "$.coordinates.longitude", "double").alias("station_lon"),
+        F.col("_e.name").alias("station_name"),
+        F.col("_e.coordinates.latitude").alias("station_lat"),
+        F.col("_e.coordinates.longitude").alias("station_lon"),
     )
 
 
