@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and then three times in full, written to the
+Each query runs once to warm up and then $BENCH_RUNS times in full, written to the
 ``noop`` sink; the median counts.
 """
 
@@ -20,7 +20,7 @@ HEADLINE = [
     "quality_report", "focus_vs_peers", "ml_features", "projection_90d", "sensor_days",
     "city_feed_incremental", "anti_join_new", "regression_metrics", "trend_monthly", "coverage",
 ]
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def main() -> None:

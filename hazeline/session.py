@@ -36,12 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in
     ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
     does this fall back to a fresh temporary folder, and it then sets it."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="run-")
-        spark.sparkContext.setCheckpointDir(configured)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(configured)
     return configured
 
 
