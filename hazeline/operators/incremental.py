@@ -21,7 +21,7 @@ def lookback(
     if as_of is None:
         as_of = F.current_timestamp()
     elif not isinstance(as_of, Column):
-        as_of = F.lit(as_of)
+        as_of = F.lit(as_of.isoformat(sep=" "))
     cutoff = as_of.cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
     day = strict_iso_date(F.col("date").cast("string"))
     return df.filter(day.cast("timestamp_ntz") >= cutoff)

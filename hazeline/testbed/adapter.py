@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline import schemas as S
 from hazeline.functions.text import clean_city, fill_country, normalise_country
 
 # Nation key to country code, line number to species.
