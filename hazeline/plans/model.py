@@ -31,12 +31,17 @@ LEARNING_RATE = 0.05
 ROW_SHARE = 0.8
 COLUMN_SHARE = "0.8"
 SEED = 42
+BINS = 256
+VALID_SHARE = 0.1  # of the training rows, held back to end the boosting
+TOLERANCE = 0.01  # least relative gain of a round on them
+VALID = "_validation"
 SEARCH_SPACE = {
     "maxDepth": (3, 9),
     "stepSize": (0.01, 0.21),
     "subsamplingRate": (0.6, 1.0),
     "featureSubsetStrategy": (0.5, 1.0),
     "minInstancesPerNode": (1, 9),
+    "minInfoGain": (0.0, 0.5),
 }
 
 
@@ -84,6 +89,9 @@ def _regressor(target: str, rounds: int, **params) -> GBTRegressor:
         "subsamplingRate": ROW_SHARE,
         "featureSubsetStrategy": COLUMN_SHARE,
         "seed": SEED,
+        "maxBins": BINS,
+        "validationIndicatorCol": VALID,
+        "validationTol": TOLERANCE,
         **params,
     }
     return GBTRegressor(
@@ -97,6 +105,13 @@ def _regressor(target: str, rounds: int, **params) -> GBTRegressor:
     )
 
 
+def _marked(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a mark on those held back, drawn by their values, so that neither the
+    partitioning nor a repeated task changes the draw."""
+    draw = F.pmod(F.xxhash64(F.lit(SEED + 1), *columns), F.lit(10_000))
+    return rows.withColumn(VALID, draw < int(VALID_SHARE * 10_000))
+
+
 def fit_gbt(
     train: DataFrame,
     features: Sequence[str] = tuple(S.FEATURES),
@@ -104,12 +119,13 @@ def fit_gbt(
     rounds: int = ROUNDS,
     **params,
 ) -> PipelineModel:
-    """Boosted trees on squared error. The training rows and every tenth round are
+    """Boosted trees on squared error, of ``rounds`` rounds at most: boosting ends when the
+    held-back rows gain less than ``TOLERANCE`` from a round. The training rows and every tenth round are
     checkpointed in the shared folder: features are computed once, and a lost executor
     replays neither them nor the boosting history."""
     shared_dir(train.sparkSession)
     rows = require_target(train, target).select(*features, F.col(target).cast("double"))
-    rows = rows.checkpoint()
+    rows = _marked(rows, features).checkpoint()
     return Pipeline(stages=[*assembler(features), _regressor(target, rounds, **params)]).fit(rows)
 
 
@@ -227,4 +243,5 @@ def search(
         seed=seed,
     )
     rows = require_target(train, target).withColumn(target, F.col(target).cast("double"))
-    return validator.fit(assemble(rows, features).select("features", target).checkpoint())
+    rows = assemble(_marked(rows, features), features)
+    return validator.fit(rows.select("features", target, VALID).checkpoint())

@@ -34,11 +34,13 @@ def local_session(name: str = "hazeline", cpus: int | str = "*") -> SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in
-    ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    does this fall back to a fresh temporary folder, and it then sets it."""
+    ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a fresh
+    temporary folder; on a cluster that is an error, as executors do not share one."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="run-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from hazeline import schemas as S
 
+AUDIT = ["_ingest_ts", "_source_file", "_source_format"]
 # Blanks around a value belong to it.
 CSV_SPACES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -37,13 +40,57 @@ def read_parquet_audited(
     return with_audit(reader.parquet(path), "parquet")
 
 
+def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header lines of the files at ``path`` and the files that have each. Only the first
+    line of a file's first split leaves its task."""
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            heads = batch.filter(pc.equal(batch["_block_start"], 0)).select(["_line", "_source_file"])
+            files = heads["_source_file"].to_pylist()
+            first = [k for k, f in enumerate(files) if f not in seen and not seen.add(f)]
+            if first:
+                yield heads.take(first)
+
+    lines = spark.read.text(path).select(
+        F.col("value").alias("_line"),
+        F.col("_metadata.file_path").alias("_source_file"),
+        F.col("_metadata.file_block_start").alias("_block_start"),
+    )
+    found: dict[str, list[str]] = {}
+    for r in lines.mapInArrow(first_lines, "_line string, _source_file string").collect():
+        found.setdefault(r["_line"], []).append(r["_source_file"])
+    return found
+
+
 def read_csv_audited(
     spark: SparkSession, path: str, schema: T.StructType = S.READING_DATA
 ) -> DataFrame:
-    """CSV with a header line. The schema is given, so the files are read once, and
-    only the columns a query uses are parsed."""
-    rows = spark.read.schema(schema).options(header=True, **CSV_SPACES).csv(path)
-    return with_audit(rows, "csv")
+    """CSV with a header line; columns go by name, whatever their case and order, which
+    may differ between files. Columns that the schema does not have are left out, those
+    a file does not have are null. One read for each header that occurs."""
+    known = {f.name.lower(): f for f in schema.fields}
+    parts = []
+    for header, paths in sorted(csv_headers(spark, path).items()):
+        names = next(csv.reader([header.lstrip("\ufeff")]))
+        fields = []
+        for k, name in enumerate(names):
+            field = known.get(name.strip().lower())
+            new = field is not None and field.name not in {f.name for f in fields}
+            fields.append(
+                T.StructField(field.name, field.dataType) if new else T.StructField(f"_unused_{k}", T.StringType())
+            )
+        rows = spark.read.schema(T.StructType(fields)).options(header=True, **CSV_SPACES).csv(paths)
+        have = set(rows.columns)
+        kept = [
+            (F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+        ]
+        parts.append(with_audit(rows, "csv").select(*kept, *AUDIT))
+    if not parts:
+        return with_audit(spark.createDataFrame([], schema), "csv", "")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -121,11 +121,14 @@ def readings_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per supplier with a balance of at least ``PLACE_MIN_BALANCE``, under its
-    cleaned country and city: several rows per place, and places that are missing."""
-    sites = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") >= PLACE_MIN_BALANCE)
+    """One row per supplier, under its cleaned country and city: several rows per place.
+    Suppliers with a balance below ``PLACE_MIN_BALANCE`` are spelled so that no reading
+    matches them, which leaves some readings without a place."""
+    sites = table(spark, sf_dir, "supplier")
     code = country_code(F.col("s_nationkey"))
     city = raw_city(code, F.col("s_suppkey"), F.col("s_name"), FOCUS_CITY_NAME)
+    listed = F.col("s_acctbal") >= PLACE_MIN_BALANCE
+    city = F.when(listed, city).otherwise(F.concat(F.lit("Off map "), F.col("s_name")))
     return sites.select(
         code.alias("country"),
         city.alias("city"),
@@ -297,12 +300,13 @@ def station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry per order under the customer's country, the city being the market
-    segment in lower case; one segment is unknown to it, fields may be missing."""
+    segment in lower case; one segment is spelled differently, fields may be missing."""
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
-    return rows.filter(F.col("c_mktsegment") != "BUILDING").select(
-        F.lower("c_mktsegment").alias("city"),
+    site = F.when(F.col("c_mktsegment") == "BUILDING", "building site")
+    return rows.select(
+        F.coalesce(site, F.lower("c_mktsegment")).alias("city"),
         country_code(F.col("c_nationkey")).alias("country"),
         F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice").cast("bigint")).alias(
             "population"

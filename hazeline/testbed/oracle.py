@@ -160,14 +160,16 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "place_rows": (
         [],
-        f"""SELECT country, CASE WHEN country = 'NG' THEN {_extract('city')} ELSE city END AS city,
+        f"""SELECT country, CASE WHEN off IS NOT NULL THEN off
+            WHEN country = 'NG' THEN {_extract('city')} ELSE city END AS city,
           city_lat, city_lon, population, n_stations
         FROM (SELECT {_code('s_nationkey')} AS country,
           {_raw_city(_code('s_nationkey'), 's_suppkey', 's_name')} AS city,
+          CASE WHEN s_acctbal < {A.PLACE_MIN_BALANCE} THEN 'Off map ' || s_name END AS off,
           s_nationkey * 1.5::DOUBLE - 20 AS city_lat, s_nationkey * 3.0::DOUBLE - 30 AS city_lon,
           CAST(floor(s_acctbal * 300) AS BIGINT) AS population,
           CAST(s_suppkey % 7 AS BIGINT) AS n_stations
-        FROM supplier WHERE s_acctbal >= {A.PLACE_MIN_BALANCE})""",
+        FROM supplier)""",
     ),
     "places": (
         ["place_rows"],
@@ -307,10 +309,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "gazetteer": (
         [],
-        f"""SELECT lower(c_mktsegment) AS city, {_code('c_nationkey')} AS country,
+        f"""SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'building site'
+            ELSE lower(c_mktsegment) END AS city, {_code('c_nationkey')} AS country,
           CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice) AS BIGINT) END AS population,
           CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS feature
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'""",
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
     ),
 }
 

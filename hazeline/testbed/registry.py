@@ -412,13 +412,13 @@ def dim_pollutants(spark, d):
 @register(
     "dim_dates",
     ["clean", "days"],
-    """SELECT days.*, n_readings FROM days
-       JOIN (SELECT date, count(*) AS n_readings FROM clean GROUP BY date) USING (date)""",
+    """SELECT days.*, coalesce(n_readings, 0) AS n_readings FROM days
+       LEFT JOIN (SELECT date, count(*) AS n_readings FROM clean GROUP BY date) USING (date)""",
 )
 def dim_dates(spark, d):
-    """The calendar rows that readings refer to, with how many do."""
+    """All calendar rows, with how many readings refer to each."""
     used = clean(spark, d).groupBy("date").agg(F.count("*").alias("n_readings"))
-    return dims.dim_dates(spark).join(used, "date")
+    return dims.dim_dates(spark).join(used, "date", "left").fillna(0, ["n_readings"])
 
 
 @register(
@@ -458,7 +458,8 @@ def quality_report(spark, d):
 
 @register("expect_or_drop", ["gated"], "SELECT * FROM gated")
 def expect_or_drop(spark, d):
-    return standard(spark, d)
+    named = A.standard_names(landed(spark, d)).withColumn("date", text.parse_date(F.col("date")))
+    return quality.expect_or_drop(named, quality.CLEAN_GATES)
 
 
 @register(
@@ -1098,15 +1099,12 @@ def derived_inputs(spark, d):
     return rounded(out, ["pm25_30d_range"])
 
 
-QUERY_ROUNDS = 3
-
-
 @register("gbt_train_score")
 def gbt_train_score(spark, d):
-    """Hold-out rows with prediction and display columns. Few rounds: this shows the
-    job, the number of rounds is a parameter."""
+    """Hold-out rows with prediction and display columns, trained until the validation
+    rows improve no more."""
     train, held = model.split(feature_rows(spark, d).drop("created_at"))
-    fitted = model.fit_gbt(train, rounds=QUERY_ROUNDS)
+    fitted = model.fit_gbt(train)
     shown = model.present(model.predict(fitted, held))
     return shown.select(
         "country", "city", "date", S.TARGET, "prediction", "aqi_label", "risk_tier",
@@ -1117,7 +1115,7 @@ def gbt_train_score(spark, d):
 @register("feature_importance")
 def feature_importance(spark, d):
     train, _ = model.split(feature_rows(spark, d).drop("created_at"))
-    return model.importances(model.fit_gbt(train, rounds=QUERY_ROUNDS), spark)
+    return model.importances(model.fit_gbt(train), spark)
 
 
 # ---------------------------------------------------------------- reports

@@ -126,6 +126,6 @@ def test_model(spark, sf, tmp_path):
 
 
 def test_search(spark, sf):
-    rows = R.feature_rows(spark, sf).limit(120)
+    rows = R.feature_rows(spark, sf)
     best = model.search(rows, n=2, folds=2, rounds=1)
     assert len(best.avgMetrics) == 2

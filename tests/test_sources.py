@@ -1,10 +1,12 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
 from hazeline.plans import bronze, places
+from hazeline.session import shared_dir
 from hazeline.sources import files, inline, payloads, sinks
 from hazeline.streaming import ingest
 
@@ -190,3 +192,39 @@ def test_stream_loads_each_key_once(spark, tmp_path):
             land("x", days)
         ingest.stream_ingest(spark, str(tmp_path / "landing"), out, state)
         assert spark.read.parquet(out).count() == total
+
+
+def test_csv_by_header_name(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text(
+        "Country,Date,City,Specie,count,min,max,median,variance\nNG,2020-01-01,Lagos,pm25,1,1,2,1.5,0.1\n"
+    )
+    (folder / "b.csv").write_text(
+        "extra,MEDIAN,date,country,city,specie,count,min,max\nx,2.5,2020-01-02,KE,Nairobi,o3,3,1,4\n"
+    )
+    (folder / "c.csv").write_text("date,country,city,specie,count,min,max,median,variance\n")
+    rows = files.read_csv_audited(spark, str(folder)).orderBy("date").collect()
+    assert [(r.date, r.country, r.city, r.median, r.variance) for r in rows] == [
+        ("2020-01-01", "NG", "Lagos", 1.5, 0.1), ("2020-01-02", "KE", "Nairobi", 2.5, None),
+    ]
+    assert [r._source_file.rsplit("/")[-1] for r in rows] == ["a.csv", "b.csv"]
+
+
+def test_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
