@@ -101,6 +101,22 @@ def readings_raw(spark, d):
     return A.readings_raw(spark, d)
 
 
+@register(
+    "bronze_readings",
+    ["raw"],
+    " UNION ALL ".join(
+        f"SELECT {', '.join(DATA)}, '{kind}' AS _source_format FROM raw" for kind in ("parquet", "csv")
+    ),
+)
+def bronze_readings(spark, d):
+    """Readings landed as Parquet and as CSV, in two other column orders, and read back."""
+    rows, folder = A.readings_raw(spark, d).select(*DATA), scratch_path(spark, "landing")
+    rows.select(*reversed(DATA)).write.parquet(f"{folder}/parquet")
+    sinks.write_csv(rows.select(*DATA[3:], *DATA[:3]), f"{folder}/csv")
+    both = bronze.bronze_readings(spark, f"{folder}/parquet", f"{folder}/csv")
+    return both.select(*DATA, "_source_format")
+
+
 @register("union_sources", ["landed"], "SELECT * FROM landed")
 def union_sources(spark, d):
     return landed(spark, d)
