@@ -63,7 +63,7 @@ def scan(files: DataFrame, threshold: float = 0.6, speaks: Column | None = None)
     spark = files.sparkSession
     stated = template_terms()
     vocabulary = sorted({t for _, _, t, _ in stated})
-    cue = "licen[sc]e|licensed|mit|cc|gnu|permitted|permission|creative|mozilla"
+    cue = r"\b(licen[sc]ed?|permitted|permission)\b"
     rows = files.select("path", "text", (F.lit(True) if speaks is None else speaks).alias("speaks"))
     n_files = rows.count()
     df = (
@@ -83,9 +83,10 @@ def scan(files: DataFrame, threshold: float = 0.6, speaks: Column | None = None)
     known = F.broadcast(spark.createDataFrame([(t, idf.get(t, 0)) for t in vocabulary], "term string, df long"))
     lines = (
         rows.where(F.lower("text").rlike(cue))
-        .select("path", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-        .where(F.lower("line").rlike(cue))
-        .select("path", "line", F.explode(terms(F.col("line"))).alias("term"))
+        .select("path", "text", F.xxhash64("path", "text").alias("file"))
+        .select("path", "file", F.posexplode(F.split("text", "\n")).alias("no", "words"))
+        .where(F.lower("words").rlike(cue))
+        .select("path", F.struct("file", "no").alias("line"), F.explode(terms(F.col("words"))).alias("term"))
         .groupBy("path", "line", "term")
         .agg(F.count("*").alias("n"))
         .join(known, "term", "left")
