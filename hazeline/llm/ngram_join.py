@@ -12,8 +12,9 @@ smallest seeded hashes are pivots; every other document that may still matter me
 and gets its exact distance by the whole sets. Documents linked through pivots are in one
 component and need no further look at each other. Two documents of different components
 stay candidates only inside the triangle window of their distances from the region's
-pivot. The number of pivots of a region doubles each round until no region holds two
-components with a pair unseen.
+pivot, and only if bucket counts of their sets, which shorten distances, allow a link. A
+region has four times as many pivots each round, until no region holds two components
+with a pair unseen.
 
 A set is of 64-bit n-gram hashes, and equal sets form one class before all else."""
 
@@ -24,10 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import WordHashes, columns, components, map_batches, mix64, ngram_hashes, words_of, written
+from hazeline.llm.common import WordHashes, columns, components, map_batches, mix64, ngram_hashes, written
 
 HOT = 1 << 16  # n-grams that are put last in the common order, at most
 PER_SALT = 256  # members that meet a pivot in one run
+BUCKETS = 256  # of a sketch
 
 
 def shingles(text: str, n: int, hashes: WordHashes) -> np.ndarray:
@@ -101,6 +103,44 @@ def prefixes(docs: DataFrame, n: int, pct: int) -> DataFrame:
     return map_batches(docs.select("doc", "text"), "doc long, size long, h1 long, h2 long, prefix array<long>", run)
 
 
+def sketched(texts: DataFrame, n: int) -> DataFrame:
+    """``doc, size, sketch, text``: a set's sketch counts its n-grams by hash bucket."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            docs, whole = columns(batch)
+            sets = [shingles(t or "", n, hashes) for t in whole]
+            counts = [np.bincount((g % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for g in sets]
+            sketches = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
+            yield {"doc": docs, "size": [len(g) for g in sets], "sketch": sketches, "text": whole}
+
+    return map_batches(texts.select("doc", "text"), "doc long, size long, sketch binary, text string", run)
+
+
+def near_enough(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
+    """Pairs of ``pivot, doc`` that can link by their sketches. Counting by bucket is a map
+    into L1 that shortens distances: what two counts differ by, the sets differ by at
+    least, and linked sets differ by at most ``(100 - pct) / (100 + pct)`` of both sizes."""
+    own = texts.select("doc", F.col("size").alias("n_doc"), F.col("sketch").alias("s_doc"))
+    theirs = texts.select(F.col("doc").alias("pivot"), F.col("size").alias("n_pivot"), F.col("sketch").alias("s_pivot"))
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            a, b = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1).astype(np.int16)
+                for c in (3, 5)
+            )
+            both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            keep = np.abs(a - b).sum(1, dtype=np.int64) * (100 + pct) <= both * (100 - pct)
+            yield {"pivot": batch.column(0).to_numpy()[keep], "doc": batch.column(1).to_numpy()[keep]}
+
+    rows = pairs.select("pivot", "doc").join(own, "doc").join(theirs, "pivot")
+    rows = rows.select("pivot", "doc", "n_doc", "s_doc", "n_pivot", "s_pivot")
+    return map_batches(rows, "pivot long, doc long", run)
+
+
 def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """``pivot, doc, common, total`` of pairs: exact sizes of intersection and union. A
     pivot's set is held while its members stream past; a pivot with many members has a
@@ -185,7 +225,7 @@ def similarity_classes(
     ids = pairs.select("doc").union(pairs.select("pivot")).union(
         regions.where("members > 2").join(member, "doc").select("rep")
     ).distinct()
-    texts = written(rows.join(ids, "doc", "left_semi"), "texts")
+    texts = written(sketched(rows.join(ids, "doc", "left_semi"), n), "texts")
     seen = written(distances(pairs, texts, n), "distances")
     linked = F.col("common") * 100 >= F.col("total") * pct
     edges = seen.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
@@ -194,7 +234,7 @@ def similarity_classes(
     rest = rest.select("gram", F.col("rep").alias("doc"), "size", F.col("pivot_rep").alias("pivot")).distinct()
     far = seen.select("pivot", "doc", (1 - F.col("common") / F.col("total")).alias("far"))
     rest = rest.join(far, ["pivot", "doc"], "left").where("pivot <> doc").select("gram", "doc", "size", "far")
-    pivots = 1
+    pivots = 4
     while True:
         held = rest.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
             "comp", F.coalesce("component", "doc")
@@ -216,7 +256,8 @@ def similarity_classes(
         met = held.join(chosen, "gram").where(F.col("comp") != F.col("pivot_comp")).where(near)
         both = lambda df: df.withColumns({"x": F.least("pivot", "doc"), "y": F.greatest("pivot", "doc")})
         pairs = both(_unseen(met, pct)).join(both(seen).select("x", "y").distinct(), ["x", "y"], "left_anti")
-        pairs = written(pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc")).distinct(), "pairs")
+        pairs = pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc")).distinct()
+        pairs = written(near_enough(pairs, texts, pct), "pairs")
         rest = held.where(F.col("rank") > pivots).select("gram", "doc", "size", "far")
         if held.isEmpty():
             break
@@ -226,7 +267,7 @@ def similarity_classes(
             edges = edges.unionByName(new.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
             if not new.where(linked).isEmpty():
                 comp = components(edges)
-        pivots *= 2
+        pivots *= 4
     named = of.join(comp, F.col("rep") == F.col("node"), "left").select(
         "doc", F.coalesce("component", "rep").alias("component")
     )
