@@ -250,10 +250,21 @@ def similarity_classes(
             F.col("size").alias("pivot_size"),
             F.col("far").alias("pivot_far"),
             F.col("comp").alias("pivot_comp"),
+            F.col("rank").alias("pivot_rank"),
         )
         # The triangle window, with room for rounding.
         near = F.coalesce(F.abs(F.col("far") - F.col("pivot_far")) <= 1 - pct / 100 + 1e-9, F.lit(True))
-        met = held.join(chosen, "gram").where(F.col("comp") != F.col("pivot_comp")).where(near)
+        near = near & (F.col("rank") > F.col("pivot_rank"))  # two pivots meet once
+        met = held
+        if pivots >= 64:
+            # Few regions are left, with many pivots each: a pair then meets only in the
+            # first of the regions that hold both, where one of them is yet to be pivot.
+            held_in = held.groupBy("doc").agg(F.collect_list("gram").alias("grams"))
+            met = held.join(held_in, "doc")
+            theirs = held_in.select(F.col("doc").alias("pivot"), F.col("grams").alias("pivot_grams"))
+            chosen = chosen.join(theirs, "pivot")
+            near = near & (F.array_min(F.array_intersect("grams", "pivot_grams")) == F.col("gram"))
+        met = met.join(chosen, "gram").where(F.col("comp") != F.col("pivot_comp")).where(near)
         both = lambda df: df.withColumns({"x": F.least("pivot", "doc"), "y": F.greatest("pivot", "doc")})
         pairs = both(_unseen(met, pct)).join(both(seen).select("x", "y").distinct(), ["x", "y"], "left_anti")
         pairs = pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc")).distinct()
