@@ -28,8 +28,16 @@ FACT_GATES = {"valid_fact_key": "fact_key IS NOT NULL", "valid_date_key": "date_
 COMPARISON_GATES = {"valid_country": "country IS NOT NULL"}
 
 
-def expect_or_drop(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
-    """Keep the rows that meet every rule. Plain filters, so they reach the scan."""
+def expect_or_drop(
+    df: DataFrame, rules: Mapping[str, str], observation: Observation | None = None
+) -> DataFrame:
+    """Keep the rows that meet every rule. Plain filters, so they reach the scan. With an
+    ``observation`` the failures per rule and the dropped rows (``dropped``) are counted
+    in the same pass; the filters then stay above the counting."""
+    if observation is not None:
+        every = " AND ".join(f"({p})" for p in rules.values()) or "true"
+        counts = [_failed(p).alias(name) for name, p in rules.items()]
+        df = df.observe(observation, *counts, _failed(every).alias("dropped"))
     for predicate in rules.values():
         df = df.filter(F.expr(predicate))
     return df

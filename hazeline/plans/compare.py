@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -13,7 +13,6 @@ from hazeline.functions.rules import risk_category
 from hazeline.operators.aggregates import exceedance_pct, weighted_mean
 from hazeline.operators.joins import join_location_inner
 from hazeline.operators.quality import COMPARISON_GATES, expect_or_drop
-from hazeline.operators.sets import union_focus_peers
 
 LIMIT = S.DAILY_LIMIT["pm25"]
 
@@ -81,13 +80,47 @@ def benchmark_mean(countries: DataFrame) -> DataFrame:
     return means.withColumnRenamed("country_avg_pm25", "benchmark_avg_pm25")
 
 
-def with_benchmark(df: DataFrame, countries: DataFrame) -> DataFrame:
-    """The benchmark on every row, as a scalar subquery. It asks for the whole
-    benchmark row and takes one field: the subquery then reads the same city figures
-    as the country rows do, and Spark reuses their exchange."""
-    means = benchmark_mean(countries)
-    whole = means.select(F.struct(*means.columns).alias("means")).scalar()
-    return df.withColumn("benchmark_avg_pm25", whole["benchmark_avg_pm25"])
+NATIONAL = "National Average"
+
+
+def focus_and_peers(cities: DataFrame, focus: str, peers: Sequence[str]) -> DataFrame:
+    """Focus cities as they are and peer countries over their cities, from one pass over
+    city figures: a city enters once for itself if in focus, once for its country if that
+    is a peer. A focus city is a group of one row, so its means are its own figures."""
+    focal = F.col("country") == focus
+    roles = F.array_compact(
+        F.array(F.when(focal, F.lit(False)), F.when(F.col("country").isin(list(peers)), F.lit(True)))
+    )
+    national = F.col("national")
+    own = lambda c: F.when(~national, F.col(c))
+    place = ["location_key", "city", "population", "n_stations", "monitoring_density_score"]
+    grouped = (
+        cities.withColumn("national", F.explode(roles))
+        .groupBy("national", "country", *[own(c).alias(f"own_{c}") for c in place])
+        .agg(
+            F.sum("population").alias("population"),
+            F.sum("n_stations").alias("n_stations"),
+            F.avg("avg_pm25").alias("mean_pm25"),
+            weighted_mean("avg_pm25", "population").alias("weighted_pm25"),
+            F.avg("avg_pm10").alias("mean_pm10"),
+            F.avg("avg_no2").alias("mean_no2"),
+            F.avg("pm25_exceedance_pct").alias("pm25_exceedance_pct"),
+        )
+    )
+    # One row per focus city and peer country is left, so one task can hold them.
+    everything = Window.partitionBy(F.lit(1))
+    return grouped.select(
+        "country",
+        F.when(national, F.lit(NATIONAL)).otherwise(F.col("own_city")).alias("city"),
+        "population",
+        "n_stations",
+        F.col("own_monitoring_density_score").alias("monitoring_density_score"),
+        F.when(national, F.col("weighted_pm25")).otherwise(F.col("mean_pm25")).alias("avg_pm25"),
+        own("mean_pm10").alias("avg_pm10"),
+        own("mean_no2").alias("avg_no2"),
+        "pm25_exceedance_pct",
+        F.avg(F.when(national, F.col("mean_pm25"))).over(everything).alias("benchmark_avg_pm25"),
+    )
 
 
 def focus_vs_peers(
@@ -96,18 +129,9 @@ def focus_vs_peers(
     focus: str = S.FOCUS_COUNTRY,
     peers: Sequence[str] = tuple(S.PEER_COUNTRIES),
 ) -> DataFrame:
-    """Focus cities and peer countries in one table."""
-    countries = peer_country_stats(fact, dim_locations, peers)
-    national = countries.select(
-        "country",
-        F.lit("National Average").alias("city"),
-        F.col("total_population").alias("population"),
-        F.col("total_stations").alias("n_stations"),
-        F.col("population_weighted_pm25").alias("avg_pm25"),
-        F.col("country_exceedance_pct").alias("pm25_exceedance_pct"),
-    )
-    cities = focus_city_stats(fact, dim_locations, focus).drop("total_days")
-    rows = with_benchmark(union_focus_peers(cities, national), countries)
+    """Focus cities and peer countries in one table. The fact is built once."""
+    cities = city_stats(fact, dim_locations, list(dict.fromkeys([focus, *peers])))
+    rows = focus_and_peers(cities, focus, peers)
     pm25 = F.col("avg_pm25")
     view = rows.select(
         "country",
