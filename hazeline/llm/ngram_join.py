@@ -25,22 +25,54 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import WordHashes, columns, components, map_batches, mix64, ngram_hashes, written
+from hazeline.llm.common import columns, components, map_batches, mix64, ngram_hashes, written
 
 HOT = 1 << 16  # n-grams that are put last in the common order, at most
 PER_SALT = 256  # members that meet a pivot in one run
 BUCKETS = 256  # of a sketch
+GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # bytes between words
+OF_BYTE = np.where(GAP, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
+BLOCK = 1 << 16  # words hashed in one go
 
 
-def shingles(text: str, n: int, hashes: WordHashes) -> np.ndarray:
+def of_place(n: int) -> np.ndarray:
+    """Odd factors of the first ``n`` places of a word."""
+    return mix64(np.arange(n, dtype=np.uint64) + np.uint64(1 << 20)) | np.uint64(1)
+
+
+PLACES = of_place(4096)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the ASCII-lower-cased words, in order. A word's hash mixes the sum
+    of a number for each byte times a factor for its place, taken for many words at once."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    word = ~GAP[raw]
+    begins = word.copy()
+    begins[1:] &= GAP[raw[:-1]]
+    starts = np.flatnonzero(begins)
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), BLOCK):
+        start = starts[k : k + BLOCK]
+        stop = starts[k + BLOCK] if k + BLOCK < len(starts) else len(raw)
+        span = np.diff(start, append=stop)  # a word and the gap behind it, which adds zeros
+        places = PLACES if span.max() <= len(PLACES) else of_place(int(span.max()))
+        first = start - start[0]
+        terms = OF_BYTE[raw[start[0] : stop]] * places[np.arange(stop - start[0]) - np.repeat(first, span)]
+        out[k : k + BLOCK] = mix64(np.add.reduceat(terms, first))
+    return out
+
+
+def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of ASCII-lower-cased words; a shorter text is
     one n-gram, a text without words has none."""
-    words = hashes.of(text.encode("utf-8", "surrogatepass").lower().split())
+    words = word_hashes(text)
     if not len(words):
         return words
     if len(words) < n:
         return ngram_hashes(words, len(words)) ^ mix64(np.array([len(words)], np.uint64))
-    return np.unique(ngram_hashes(words, n))
+    grams = np.sort(ngram_hashes(words, n))
+    return grams[np.append(True, grams[1:] != grams[:-1])]
 
 
 def frequent(docs: DataFrame, n: int) -> np.ndarray:
@@ -48,11 +80,10 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
     batch, added up over all. They only order the sets, any list gives right results."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 3000):
                 texts = batch.column(0).slice(begin, 3000).to_pylist()
-                sets = [shingles(t, n, hashes) for t in texts if t]
+                sets = [shingles(t, n) for t in texts if t]
                 if sets:
                     values, counts = np.unique(np.concatenate(sets), return_counts=True)
                     hot = counts >= max(4, len(sets) // 500)
@@ -75,7 +106,6 @@ def prefixes(docs: DataFrame, n: int, pct: int) -> DataFrame:
     hot = frequent(docs, n)
 
     def run(batches):
-        hashes = WordHashes()
         by = np.argsort(hot)
         known = hot[by]
         for batch in batches:
@@ -83,7 +113,7 @@ def prefixes(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 out: dict[str, list] = {k: [] for k in ("doc", "size", "h1", "h2", "prefix")}
                 seen = set()
                 for doc, text in zip(*columns(batch.slice(begin, 3000))):
-                    grams = shingles(text or "", n, hashes)
+                    grams = shingles(text or "", n)
                     digest = xxhash.xxh3_128_digest(grams.tobytes())
                     h1, h2 = np.frombuffer(digest, np.int64).tolist()
                     prefix = None
@@ -107,10 +137,9 @@ def sketched(texts: DataFrame, n: int) -> DataFrame:
     """``doc, size, sketch, text``: a set's sketch counts its n-grams by hash bucket."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             docs, whole = columns(batch)
-            sets = [shingles(t or "", n, hashes) for t in whole]
+            sets = [shingles(t or "", n) for t in whole]
             counts = [np.bincount((g % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for g in sets]
             sketches = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
             yield {"doc": docs, "size": [len(g) for g in sets], "sketch": sketches, "text": whole}
@@ -160,12 +189,11 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     )
 
     def run(batches):
-        hashes = WordHashes()
         held = np.empty(0, np.uint64)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("pivot", "doc", "common", "total")}
             for pivot, _, member, doc, text in zip(*columns(batch)):
-                grams = shingles(text or "", n, hashes)
+                grams = shingles(text or "", n)
                 if not member:
                     held = grams
                     continue
@@ -180,6 +208,20 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return map_batches(ordered, "pivot long, doc long, common long, total long", run)
 
 
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component`` of all nodes after more ``edges (a, b)``: only the components
+    that these tie together are gone through again."""
+    loops = edges.select(F.explode(F.array("a", "b")).alias("node")).withColumn("component", F.col("node"))
+    known = comp.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+    known = written(known, "known")
+    a = known.select(F.col("node").alias("a"), F.col("component").alias("low"))
+    b = known.select(F.col("node").alias("b"), F.col("component").alias("high"))
+    ties = edges.join(a, "a").join(b, "b").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    tied = components(ties).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    known = known.join(tied, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return written(known, "components")
+
+
 def _unseen(pairs: DataFrame, pct: int) -> DataFrame:
     """Distinct pairs of ``pivot, pivot_size, doc, size`` whose sizes allow a link."""
     allowed = (F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * pct) & (
@@ -229,7 +271,7 @@ def similarity_classes(
     seen = written(distances(pairs, texts, n), "distances")
     linked = F.col("common") * 100 >= F.col("total") * pct
     edges = seen.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-    comp = components(edges)
+    comp = written(components(edges), "components")
     rest = regions.where("members > 2").join(member, "doc").join(pivot, "pivot")
     rest = rest.select("gram", F.col("rep").alias("doc"), "size", F.col("pivot_rep").alias("pivot")).distinct()
     far = seen.select("pivot", "doc", (1 - F.col("common") / F.col("total")).alias("far"))
@@ -275,9 +317,9 @@ def similarity_classes(
         if not pairs.isEmpty():
             new = written(distances(pairs, texts, n), "distances")
             seen = seen.unionByName(new)
-            edges = edges.unionByName(new.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-            if not new.where(linked).isEmpty():
-                comp = components(edges)
+            links = new.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+            if not links.isEmpty():
+                comp = merged(comp, links)
         pivots *= 4
     named = of.join(comp, F.col("rep") == F.col("node"), "left").select(
         "doc", F.coalesce("component", "rep").alias("component")
