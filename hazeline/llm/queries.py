@@ -18,6 +18,7 @@ from hazeline.llm import (
     token_counts,
     token_files,
 )
+from hazeline.llm.oracle import ORACLES as ORACLES
 from hazeline.session import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,4 +89,3 @@ QUERIES = {
         op6_token_files, op7_language_id, op8_imatch, op9_ngram_join, op10_bpe_automaton,
     )
 }
-ORACLES: dict[str, str] = {}
