@@ -19,4 +19,3 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 
 union_bronze = union_sources
 union_periods = union_sources
-union_focus_peers = concat_by_name
