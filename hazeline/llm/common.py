@@ -115,7 +115,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Smallest member of the component of every node of ``edges (a long, b long)``.
 
-    Alternates two steps until nothing changes. In the first every node points all its
+    Alternates two steps until every node points at one that points nowhere. In the first every node points all its
     larger neighbours to its smallest one, in the second all its smaller ones; edges
     only ever lose stars, so the number of rows does not grow. Each round is one
     shuffle or two and ends in a checkpoint. A node with many neighbours is reduced by
@@ -126,7 +126,6 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -145,12 +144,11 @@ def components(edges: DataFrame) -> DataFrame:
             ).alias("e")
         )
         pairs = _cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        state = pairs.agg(
-            F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("root"))
+        roles = ends.unionByName(pairs.select(F.col("b").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("root")))
+        roles = roles.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("root").alias("root"))
+        if roles.where("ups > 1 OR ups = 1 AND root = 1").isEmpty():
             break
-        before = state
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return ends.unionByName(roots)

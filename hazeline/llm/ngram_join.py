@@ -13,8 +13,9 @@ and gets its exact distance by the whole sets. Documents linked through pivots a
 component and need no further look at each other. Two documents of different components
 stay candidates only inside the triangle window of their distances from the region's
 pivot, and only if bucket counts of their sets, which shorten distances, allow a link. A
-region has four times as many pivots each round, until no region holds two components
-with a pair unseen.
+region has eight times as many pivots each round, until no region holds two components
+with a pair unseen. What the rounds know of components may lag behind the links; the whole
+graph of links is gone through once, at the end.
 
 A set is of 64-bit n-gram hashes, and equal sets form one class before all else."""
 
@@ -30,6 +31,7 @@ from hazeline.llm.common import columns, components, map_batches, mix64, ngram_h
 HOT = 1 << 16  # n-grams that are put last in the common order, at most
 PER_SALT = 256  # members that meet a pivot in one run
 BUCKETS = 256  # of a sketch
+FIRST, GROWTH = 4, 8  # pivots of a region in the first round, times as many in each after
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # bytes between words
 OF_BYTE = np.where(GAP, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
 BLOCK = 1 << 16  # words hashed in one go
@@ -208,26 +210,27 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return map_batches(ordered, "pivot long, doc long, common long, total long", run)
 
 
-def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, component`` of all nodes after more ``edges (a, b)``: only the components
-    that these tie together are gone through again."""
-    loops = edges.select(F.explode(F.array("a", "b")).alias("node")).withColumn("component", F.col("node"))
-    known = comp.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
-    known = written(known, "known")
-    a = known.select(F.col("node").alias("a"), F.col("component").alias("low"))
-    b = known.select(F.col("node").alias("b"), F.col("component").alias("high"))
-    ties = edges.join(a, "a").join(b, "b").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    tied = components(ties).select(F.col("node").alias("component"), F.col("component").alias("least"))
-    known = known.join(tied, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-    return written(known, "components")
+def told_apart(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after more ``links (a, b)`` between known nodes. Nodes of one
+    label are linked with each other by some way; not all that are so have one label yet,
+    as a label comes from two links away at most. It only saves looks, so that is enough."""
+    a = comp.select(F.col("node").alias("a"), F.col("component").alias("low"))
+    b = comp.select(F.col("node").alias("b"), F.col("component").alias("high"))
+    ties = links.join(a, "a").join(b, "b").where("low <> high").select("low", "high").distinct()
+    ties = ties.select(F.explode(F.array(F.struct("low", "high"), F.struct(F.col("high").alias("low"), F.col("low").alias("high")))).alias("t"))
+    ties = ties.select(F.col("t.low").alias("at"), F.col("t.high").alias("to"))
+    one = ties.groupBy("at").agg(F.min(F.least("at", "to")).alias("least"))
+    two = ties.join(one.select(F.col("at").alias("to"), "least"), "to").groupBy("at").agg(F.min("least").alias("least"))
+    known = comp.join(two.select(F.col("at").alias("component"), "least"), "component", "left")
+    return written(known.select("node", F.coalesce("least", "component").alias("component")), "labels")
 
 
-def _unseen(pairs: DataFrame, pct: int) -> DataFrame:
-    """Distinct pairs of ``pivot, pivot_size, doc, size`` whose sizes allow a link."""
+def _allowed(pairs: DataFrame, pct: int) -> DataFrame:
+    """Pairs of ``pivot, pivot_size, doc, size`` whose sizes allow a link."""
     allowed = (F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * pct) & (
         F.col("pivot") != F.col("doc")
     )
-    return pairs.where(allowed).select("pivot", "doc").distinct()
+    return pairs.where(allowed).select("pivot", "doc")
 
 
 def similarity_classes(
@@ -261,7 +264,7 @@ def similarity_classes(
     member = of.select(F.col("doc"), F.col("rep"))
     pivot = of.select(F.col("doc").alias("pivot"), F.col("rep").alias("pivot_rep"))
     regions = written(regions, "regions")
-    pairs = _unseen(regions, pct).join(member, "doc").join(pivot, "pivot")
+    pairs = _allowed(regions, pct).distinct().join(member, "doc").join(pivot, "pivot")
     pairs = pairs.select(F.col("pivot_rep").alias("pivot"), F.col("rep").alias("doc")).where("pivot <> doc").distinct()
     pairs = written(pairs, "pairs")
     ids = pairs.select("doc").union(pairs.select("pivot")).union(
@@ -270,17 +273,16 @@ def similarity_classes(
     texts = written(sketched(rows.join(ids, "doc", "left_semi"), n), "texts")
     seen = written(distances(pairs, texts, n), "distances")
     linked = F.col("common") * 100 >= F.col("total") * pct
-    edges = seen.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-    comp = written(components(edges), "components")
+    links = seen.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    edges = links
+    comp = told_apart(texts.select(F.col("doc").alias("node"), F.col("doc").alias("component")), links)
     rest = regions.where("members > 2").join(member, "doc").join(pivot, "pivot")
     rest = rest.select("gram", F.col("rep").alias("doc"), "size", F.col("pivot_rep").alias("pivot")).distinct()
     far = seen.select("pivot", "doc", (1 - F.col("common") / F.col("total")).alias("far"))
     rest = rest.join(far, ["pivot", "doc"], "left").where("pivot <> doc").select("gram", "doc", "size", "far")
-    pivots = 4
+    pivots = FIRST
     while True:
-        held = rest.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-            "comp", F.coalesce("component", "doc")
-        )
+        held = rest.join(comp.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc")
         mixed = held.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         held = held.join(mixed.select("gram"), "gram", "left_semi")
         rank = F.row_number().over(line.orderBy("like", F.xxhash64("doc", F.lit(seed + pivots))))
@@ -298,7 +300,7 @@ def similarity_classes(
         near = F.coalesce(F.abs(F.col("far") - F.col("pivot_far")) <= 1 - pct / 100 + 1e-9, F.lit(True))
         near = near & (F.col("rank") > F.col("pivot_rank"))  # two pivots meet once
         met = held
-        if pivots >= 64:
+        if pivots > FIRST:
             # Few regions are left, with many pivots each: a pair then meets only in the
             # first of the regions that hold both, where one of them is yet to be pivot.
             held_in = held.groupBy("doc").agg(F.collect_list("gram").alias("grams"))
@@ -307,9 +309,9 @@ def similarity_classes(
             chosen = chosen.join(theirs, "pivot")
             near = near & (F.array_min(F.array_intersect("grams", "pivot_grams")) == F.col("gram"))
         met = met.join(chosen, "gram").where(F.col("comp") != F.col("pivot_comp")).where(near)
-        both = lambda df: df.withColumns({"x": F.least("pivot", "doc"), "y": F.greatest("pivot", "doc")})
-        pairs = both(_unseen(met, pct)).join(both(seen).select("x", "y").distinct(), ["x", "y"], "left_anti")
-        pairs = pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc")).distinct()
+        both = lambda df: df.select(F.least("pivot", "doc").alias("x"), F.greatest("pivot", "doc").alias("y"))
+        pairs = both(_allowed(met, pct)).distinct().join(both(seen), ["x", "y"], "left_anti")
+        pairs = pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc"))
         pairs = written(near_enough(pairs, texts, pct), "pairs")
         rest = held.where(F.col("rank") > pivots).select("gram", "doc", "size", "far")
         if held.isEmpty():
@@ -319,8 +321,10 @@ def similarity_classes(
             seen = seen.unionByName(new)
             links = new.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
             if not links.isEmpty():
-                comp = merged(comp, links)
-        pivots *= 4
+                edges = edges.unionByName(links)
+                comp = told_apart(comp, links)
+        pivots *= GROWTH
+    comp = components(edges)
     named = of.join(comp, F.col("rep") == F.col("node"), "left").select(
         "doc", F.coalesce("component", "rep").alias("component")
     )
