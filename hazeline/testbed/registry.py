@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -478,6 +478,35 @@ def expect_or_drop(spark, d):
     return quality.expect_or_drop(named, quality.CLEAN_GATES)
 
 
+def _failures_sql(name: str, predicate: str) -> str:
+    return f"count(*) FILTER (WHERE NOT coalesce({predicate}, false)) AS {name}"
+
+
+@register(
+    "gate_counts",
+    ["named"],
+    "SELECT "
+    + ", ".join(
+        _failures_sql(n, p)
+        for n, p in {
+            **quality.CLEAN_GATES,
+            "dropped": " AND ".join(quality.CLEAN_GATES.values()),
+            **quality.MEASUREMENT_CHECKS,
+        }.items()
+    )
+    + " FROM named",
+)
+def gate_counts(spark, d):
+    """What the gates drop and the checks find, counted while the rows pass by."""
+    named = A.standard_names(landed(spark, d)).withColumn("date", text.parse_date(F.col("date")))
+    checks, gates = Observation(), Observation()
+    seen = quality.expect(named, quality.MEASUREMENT_CHECKS, checks)
+    kept = quality.expect_or_drop(seen, quality.CLEAN_GATES, gates)
+    kept.write.format("noop").mode("overwrite").save()
+    counts = {**gates.get, **checks.get}
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
+
+
 @register(
     "key_uniqueness",
     ["place_rows"],
@@ -1204,3 +1233,8 @@ def coverage(spark, d):
 def head_preview(spark, d):
     ordered = landed(spark, d).orderBy(F.desc("median"), "date", "country", "city", "specie", "count")
     return reports.head(ordered, 10)
+
+
+@register("sort_desc", ["landed"], "SELECT * FROM landed ORDER BY median DESC")
+def sort_desc(spark, d):
+    return reports.sort_desc(landed(spark, d), "median")

@@ -9,6 +9,7 @@ NAMES = [
     "readings_clean", "fact_daily", "fact_aggregated", "dim_locations", "dim_pollutants", "dim_dates",
     "quality_report", "focus_vs_peers", "ml_features", "sensor_days", "city_feed", "places",
     "csv_preamble", "anti_join_new", "stream_ingest", "residual_histogram", "coverage",
+    "gate_counts",
 ]
 
 
@@ -27,3 +28,9 @@ def test_equals_duckdb(spark, sf, name):
 def test_entry(spark, sf):
     df = contract.entry(spark)
     assert df.count() > 0 and "trend_indicator" in df.columns
+
+
+def test_sort_desc_orders(spark, sf):
+    found = [r["median"] for r in QUERIES["sort_desc"](spark, sf).select("median").collect()]
+    known = [m for m in found if m is not None]
+    assert known == sorted(known, reverse=True) and found[len(known) :] == [None] * (len(found) - len(known))
