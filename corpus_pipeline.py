@@ -50,9 +50,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: a document stands as often as the mix takes its words, rounded up, so one
-    that is taken in part stays whole; documents that are not taken go."""
-    mixed = mixing.mix(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    """Mixing: documents stay whole and stand so often that the words of every source
+    come near its target; documents that are not taken go."""
+    mixed = mixing.whole_documents(docs).where("times > 0").select("doc_id", "times")
     return (
         docs.join(mixed, "doc_id")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))

@@ -102,9 +102,15 @@ def mix(
     one; other columns do not matter; an empty table gives no rows. The number of sources
     and of shards (about ``shards`` in all) bounds what the driver sees. A large source
     has many shards of even size, whatever its share of the rows."""
-    spark = docs.sparkSession
+    taken = taken_words(sized(docs, key, text, source), share, weights, most, shards, seed)
+    return taken.select(F.col("key").alias(key), "size", "source_size", "target", "taken")
+
+
+def taken_words(rows: DataFrame, share: float, weights: Sequence[float], most: int, shards: int, seed: int) -> DataFrame:
+    """``mix`` of sized rows, with the ``source_no`` and ``shard`` of each."""
+    spark = rows.sparkSession
     shared_dir(spark)
-    rows = sized(docs, key, text, source).checkpoint()
+    rows = rows.checkpoint()
     known = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
     known = sorted(known, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["n"] for r in known]
@@ -151,10 +157,53 @@ def mix(
         dealt.join(quota, ["source_no", "shard"])
         .withColumns({"end": end, "phase": phase})
         .select(
-            F.col("key").alias(key),
+            "key",
+            "source_no",
+            "shard",
             "size",
             "source_size",
             "target",
             (words(F.col("end")) - words(F.col("end") - F.col("size"))).cast("long").alias("taken"),
         )
     )
+
+
+def whole_documents(
+    docs: DataFrame,
+    share: float = 1.5,
+    weights: Sequence[float] = (3, 1, 2),
+    most: int = 2,
+    shards: int = 1024,
+    seed: int = 17,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """``key, size, source_size, target, times`` of every document: how often the mix has
+    it if documents stay whole. The whole part of ``taken / size`` counts in full. The
+    fractions are added up along the line of a source, from a seeded start; a document at
+    which the sum passes a whole number stands once more. The line goes by size class
+    (four to each doubling), in a class by shard, in a shard by size: as neighbours have
+    like sizes, the words kept follow the words taken. Fractions are whole numbers of
+    2^-30, so sums do not depend on their order."""
+    rows = taken_words(sized(docs, key, text, source), share, weights, most, shards, seed).checkpoint()
+    unit = 1 << 30
+    part = F.when(F.col("size") > 0, F.round((F.col("taken") % F.col("size")) * F.lit(unit) / F.col("size"))).otherwise(0)
+    step = F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int")
+    rows = rows.withColumns({"part": part.cast("long"), "step": step})
+    before = Window.partitionBy("source_no").orderBy("step", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (  # one row a shard and size class
+        rows.groupBy("source_no", "step", "shard")
+        .agg(F.sum("part").alias("parts"))
+        .withColumn("start", F.coalesce(F.sum("parts").over(before), F.lit(0)) + F.pmod(F.xxhash64("source_no", F.lit(seed + 3)), F.lit(unit)))
+        .select("source_no", "step", "shard", "start")
+    )
+    line = Window.partitionBy("source_no", "step", "shard").orderBy("size", F.xxhash64("key", F.lit(seed + 4)), "key", "part")
+    end = F.col("start") + F.sum("part").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    passed = F.shiftright("end", 30) - F.shiftright(F.col("end") - F.col("part"), 30)
+    return (
+        rows.join(F.broadcast(starts), ["source_no", "step", "shard"])
+        .withColumn("end", end)
+        .withColumn("whole", F.when(F.col("size") > 0, F.floor((F.col("taken") - F.col("taken") % F.col("size")) / F.col("size"))).otherwise(0))
+        .select(F.col("key").alias(key), "size", "source_size", "target", (F.col("whole") + passed).cast("int").alias("times"))
+    )

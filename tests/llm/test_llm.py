@@ -381,3 +381,19 @@ def test_queries_are_registered(spark):
 
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)] == list(QUERIES)
+
+
+def test_mixture_keeps_documents_near_the_targets(spark):
+    """Documents of many blocks each, so every one has words taken and left."""
+    rng = random.Random(7)
+    parts = [("a", 1500), ("b", 700), ("c", 300), (None, 200)]
+    rows = [(k, " ".join(["w"] * rng.choice([40, 90, 200, 400])), "en", s, 7) for k, s in enumerate(s for s, n in parts for _ in range(n))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    sizes = {r[0]: len(r[1].split()) for r in rows}
+    kept = {}
+    for r in corpus_pipeline.mixture(spark, frame, "").collect():
+        kept.setdefault(r.source, []).append(r.doc_id)
+    for r in mixing.mix(frame).join(frame.select("doc_id", "source"), "doc_id").groupBy("source").agg({"target": "max"}).collect():
+        ids = kept[r[0]]
+        assert abs(sum(sizes[i] for i in ids) - r[1]) < 0.02 * r[1] + 400
+        assert max(ids.count(i) for i in set(ids)) <= 2
