@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is made of blocks of equally many words. Blocks go to sources by the highest
-quotients ``target / (2 k + 1)``, and inside a source to its shards by the highest
-quotients of their sizes, so every shard gets a whole number of blocks. A shard lines up
-its documents in a seeded order and takes its quota of blocks from that line with a
-seeded start and even steps; a block may be taken twice. All but the quotas, which are a
-few numbers a shard, stays in DataFrame expressions."""
+Seats are words. They go to sources by the highest quotients ``target / (2 k + 1)``, and
+inside a source to its shards by the highest quotients of their sizes, so every source
+and shard has its quota to the word, however small it is. A shard lines up its documents
+in a seeded order and takes its quota from that line in runs of about a block, with a
+seeded start and even steps; above the line's length all of it is taken once and the
+runs are those taken again. All but the quotas, which are a few numbers a shard, stays in
+DataFrame expressions."""
 
 from __future__ import annotations
 
@@ -74,6 +75,11 @@ def source_targets(sizes: Sequence[int], share: float, weights: Sequence[float],
     return capped_shares(share * sum(sizes), w, [most * s for s in sizes])
 
 
+def block_length(total: int) -> int:
+    """Words of a run, longer for more words in all."""
+    return int(min(4096, max(16, total // 1_000_000)))
+
+
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     return docs.select(
         F.col(key).alias("key"),
@@ -116,7 +122,7 @@ def taken_words(rows: DataFrame, share: float, weights: Sequence[float], most: i
     sizes = [r["n"] for r in known]
     total = sum(sizes)
     targets = source_targets(sizes, share, weights, most)
-    block = int(min(4096, max(16, total // 1_000_000)))
+    block = block_length(total)
     per_shard = max(total // shards, 256 * block, 1)
     n_shards = [max(1, -(-n // per_shard)) for n in sizes]
     sources = F.broadcast(  # one row a source
@@ -134,28 +140,33 @@ def taken_words(rows: DataFrame, share: float, weights: Sequence[float], most: i
     shard_sizes: dict[int, list[tuple[int, int]]] = {}
     for r in sorted(found, key=lambda r: (r["source_no"], r["shard"])):
         shard_sizes.setdefault(r["source_no"], []).append((r["shard"], r["n"]))
-    blocks = sainte_lague(round(float(targets.sum()) / block), targets, [most * n // block for n in sizes])
+    words = sainte_lague(round(float(targets.sum())), targets, [most * n for n in sizes])
     quotas = []
     for no, parts in shard_sizes.items():
         lengths = [n for _, n in parts]
-        got = sainte_lague(int(blocks[no]), lengths, [most * -(-n // block) for n in lengths])
-        quotas += [(no, s, n, -(-n // block), int(q)) for (s, n), q in zip(parts, got)]
+        got = sainte_lague(int(words[no]), lengths, [most * n for n in lengths])
+        for (s, n), q in zip(parts, got.tolist()):
+            times, more = divmod(q, n) if n else (0, 0)
+            quotas.append((no, s, n, times, more, -(-block * n // more) if more else max(n, 1)))
     quota = F.broadcast(  # one row a shard, see shards
-        spark.createDataFrame(quotas, "source_no int, shard long, length long, n_blocks long, quota long")
+        spark.createDataFrame(quotas, "source_no int, shard long, length long, times long, more long, step long")
     )
     line = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "key", "size")
     end = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    phase = F.pmod(F.xxhash64("source_no", "shard", F.lit(seed + 2)), F.greatest("n_blocks", F.lit(1)))
-    # Blocks taken among the first b: evenly spread, from a seeded phase on.
-    upto = lambda b: F.floor(((b * F.col("quota")) + F.col("phase")) / F.greatest("n_blocks", F.lit(1)))
+    phase = F.pmod(F.xxhash64("source_no", "shard", F.lit(seed + 2)), "step")
 
-    def words(x):
-        b = F.floor(x / block)
-        return upto(b) * block + (upto(b + 1) - upto(b)) * (x - b * block)
+    def words_upto(x):
+        """Words taken among the first ``x`` of a shard: the line is cut in steps from a
+        seeded place on, and each step gives the run at its head."""
+        cut = f"(phase + step * floor(({x} - phase) / step))"
+        low, high = f"greatest({cut}, 0)", f"least({cut} + step, length)"
+        due = lambda y: f"({y} * more div greatest(length, 1))"
+        return F.expr(f"{x} * times + {due(low)} + least({x} - {low}, {due(high)} - {due(low)})")
 
     return (
         dealt.join(quota, ["source_no", "shard"])
         .withColumns({"end": end, "phase": phase})
+        .withColumn("begin", F.col("end") - F.col("size"))
         .select(
             "key",
             "source_no",
@@ -163,7 +174,7 @@ def taken_words(rows: DataFrame, share: float, weights: Sequence[float], most: i
             "size",
             "source_size",
             "target",
-            (words(F.col("end")) - words(F.col("end") - F.col("size"))).cast("long").alias("taken"),
+            (words_upto("end") - words_upto("begin")).cast("long").alias("taken"),
         )
     )
 

@@ -397,3 +397,17 @@ def test_mixture_keeps_documents_near_the_targets(spark):
         ids = kept[r[0]]
         assert abs(sum(sizes[i] for i in ids) - r[1]) < 0.02 * r[1] + 400
         assert max(ids.count(i) for i in set(ids)) <= 2
+
+
+def test_mixing_takes_tiny_sources_to_the_word(spark, monkeypatch):
+    """Beside a huge source, with the long runs of a huge corpus."""
+    monkeypatch.setattr(mixing, "block_length", lambda total: 4096, raising=False)
+    rows = [(k, "w " * 900, "huge") for k in range(2000)]
+    rows += [(5000, "w " * 1200, "tiny"), (5001, "w " * 800, "tiny"), (5002, "w " * 6000, "mid"), (5003, "w " * 7, None)]
+    source = {k: s for k, _, s in rows}
+    taken, target = {}, {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=64).collect():
+        s = source[r.doc_id]
+        taken[s], target[s] = taken.get(s, 0) + r.taken, r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target) and len(target) == 4
