@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.llm.common import written
+
 # Usual licence statements.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -66,13 +68,14 @@ def scan(files: DataFrame, threshold: float = 0.6, speaks: Column | None = None)
     cue = r"\b(licen[sc]ed?|permitted|permission)\b"
     rows = files.select("path", "text", (F.lit(True) if speaks is None else speaks).alias("speaks"))
     n_files = rows.count()
-    df = (
+    df = written(
         rows.where("text IS NOT NULL")
-        .select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term"))
+        .select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
         .groupBy("term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.count("*").alias("df")),
+        "frequencies",
     )
-    idf = {r["term"]: r["df"] for r in df.collect()}  # at most the templates' words
+    idf = {r["term"]: r["df"] for r in df.where(F.col("term").isin(vocabulary)).collect()}
     weigh = lambda n: F.log((F.lit(n_files) + 1) / (n + 1)) + 1
     table = spark.createDataFrame(
         [(lic, st, t, n, idf.get(t, 0)) for lic, st, t, n in stated],
@@ -80,7 +83,6 @@ def scan(files: DataFrame, threshold: float = 0.6, speaks: Column | None = None)
     ).withColumn("w", F.col("n") * weigh(F.col("df")))
     norms = table.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     table = F.broadcast(table.join(norms, "statement").select("licence", "statement", "term", "w", "norm", "df"))
-    known = F.broadcast(spark.createDataFrame([(t, idf.get(t, 0)) for t in vocabulary], "term string, df long"))
     lines = (
         rows.where(F.lower("text").rlike(cue))
         .select("path", "text", F.xxhash64("path", "text").alias("file"))
@@ -89,8 +91,8 @@ def scan(files: DataFrame, threshold: float = 0.6, speaks: Column | None = None)
         .select("path", F.struct("file", "no").alias("line"), F.explode(terms(F.col("words"))).alias("term"))
         .groupBy("path", "line", "term")
         .agg(F.count("*").alias("n"))
-        .join(known, "term", "left")
-        .withColumn("wl", F.col("n") * weigh(F.coalesce("df", F.lit(0))))
+        .join(df, "term")
+        .withColumn("wl", F.col("n") * weigh(F.col("df")))
         .drop("df")
     )
     whole = lines.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("wl") * F.col("wl"))).alias("norm_line"))

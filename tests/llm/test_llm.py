@@ -411,3 +411,16 @@ def test_mixing_takes_tiny_sources_to_the_word(spark, monkeypatch):
         taken[s], target[s] = taken.get(s, 0) + r.taken, r.target
         assert 0 <= r.taken <= 2 * r.size
     assert all(abs(taken[s] - target[s]) <= 1 for s in target) and len(target) == 4
+
+
+@pytest.mark.parametrize("n", [60, 3000])
+def test_license_scan_weighs_ordinary_words_by_their_files(spark, n):
+    """Words that no template holds, in every file, around a statement."""
+    common = "all content on this site article is"
+    rows = [(f"d{k}/p", common) for k in range(n)]
+    rows += [("x/p", "All content on this site article is licensed under CC BY 4.0."), ("y/p", "licensed cc by under 4.0")]
+    got = rows_of(licenses.scan(spark.createDataFrame(rows, "path string, text string")).where("own IS NOT NULL"))
+    assert got["x/p"][0] == "CC-BY-4.0" and set(got) == {"x/p", "y/p"}
+    idf = lambda df: np.log((n + 3) / (df + 1)) + 1
+    ordinary, stated = len(common.split()) * idf(n + 1) ** 2, 5 * idf(2) ** 2
+    assert got["x/p"][1] == pytest.approx((stated / (stated + ordinary)) ** 0.5, abs=2e-6)
