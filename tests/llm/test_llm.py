@@ -424,3 +424,26 @@ def test_license_scan_weighs_ordinary_words_by_their_files(spark, n):
     idf = lambda df: np.log((n + 3) / (df + 1)) + 1
     ordinary, stated = len(common.split()) * idf(n + 1) ** 2, 5 * idf(2) ** 2
     assert got["x/p"][1] == pytest.approx((stated / (stated + ordinary)) ** 0.5, abs=2e-6)
+
+
+def test_license_scan_compares_statements_over_lines(spark):
+    rows = [
+        ("a/p", "x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that these are met:\ny"),
+        ("b/p", "Creative Commons Attribution 4.0 International"), ("c/p", "Licensed\n\nunder\n \nCC\nBY\n4.0\n" + "word " * 99),
+        ("d/p", "Licensed under nothing\n" + "word " * 40 + "\nCC BY 4.0"), ("e/p", "use of the source code"),
+        ("f/p", "Redistribution and use in source and binary forms, with or without"),
+    ] + [(f"g{k}/p", "word and") for k in range(40)]
+    got = rows_of(licenses.scan(spark.createDataFrame(rows, "path string, text string")))
+    assert got["a/p"][0] == got["f/p"][0] == "BSD-3-Clause"
+    assert got["b/p"][0] == got["c/p"][0] == "CC-BY-4.0" and got["c/p"][1] == 1.0
+    assert got["e/p"][0] is got["g0/p"][0] is None
+
+
+def test_license_gate_is_implied_by_the_threshold():
+    stated = licenses.template_terms()
+    rng = random.Random(5)
+    for _ in range(50):
+        shares = licenses.statement_shares(stated, {t: rng.randrange(1000) for _, _, t, _ in stated}, 1000)
+        for share in shares.values():
+            needed = licenses.needed_terms(share, 0.36)
+            assert needed and sum(x for t, x in share.items() if t not in needed) < 0.36
