@@ -8,9 +8,10 @@ windows have equal anchors. Documents are streamed past the suffix automata of b
 reference shards (the first documents of the corpus), which travel to all tasks: from an
 anchor that a shard holds on, matching statistics give for every window the earliest
 place of its words in the shard, and settle it when that lies before. What no shard
-settles is grouped by anchor: one row for the windows that share an anchor, with 40-bit
+settles is grouped by anchor: one row for the windows that share an anchor, with two
 window hashes, is sent to where all windows of that anchor meet, in document order. Two
-windows count as equal when the anchor's 64 and these 40 bits are. Maximal spans of
+windows count as equal when the anchor's 64 bits and the 64 and 32 of the hashes are, so
+equality holds also among many different windows of one anchor. Maximal spans of
 removed windows are cut out at last."""
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from hazeline.llm.common import WordHashes, columns, map_batches, mix64, ngram_hashes, words_of
 
 ANCHOR = 5
-BYTES = 5  # of a window's hash beside its anchor's
+BYTES = 12  # of a window's two hashes beside its anchor's
+SECOND = np.uint64(0xD1B54A32D192ED03)  # for the second hash words are mixed with this
 
 
 class SuffixAutomaton:
@@ -140,7 +142,7 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
         reference = [Shard(*s) for s in shards]
         for batch in batches:
             for begin in range(0, batch.num_rows, 3000):
-                docs_, firsts, wins, ancs, places, done = [], [], [], [], [], []
+                docs_, wins, checks, ancs, places, done = [], [], [], [], [], []
                 for doc, text in zip(*columns(batch.slice(begin, 3000))):
                     words = hashes.of(words_of(text))
                     anchors, at = window_anchors(words, length)
@@ -154,24 +156,26 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
                         done.append((doc, np.flatnonzero(~keep)))
                     starts = np.flatnonzero(keep)
                     wins.append(ngram_hashes(words, length)[starts])
+                    second = ngram_hashes(mix64(words ^ SECOND), length)[starts]
+                    checks.append((second >> np.uint64(32)).astype("<u4"))
                     ancs.append(anchors[starts])
                     places.append(starts)
                     docs_.append(np.full(len(starts), doc))
                 if wins:
-                    win, anc, place, doc_ = map(np.concatenate, (wins, ancs, places, docs_))
-                    order = np.lexsort((place, doc_, win))
+                    win, chk, anc, place, doc_ = map(np.concatenate, (wins, checks, ancs, places, docs_))
+                    order = np.lexsort((place, doc_, chk, win))
                     first = np.ones(len(win), bool)
-                    w, p, d = win[order], place[order], doc_[order]
-                    later = (w[1:] == w[:-1]) & ((d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+                    w, c, p, d = win[order], chk[order], place[order], doc_[order]
+                    later = (w[1:] == w[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (p[1:] != p[:-1]))
                     first[order[1:][later]] = False
                     gone, whose = place[~first], doc_[~first]
                     cuts = np.flatnonzero(np.diff(whose)) + 1
                     done += [(int(d[0]), s) for d, s in zip(np.split(whose, cuts), np.split(gone, cuts)) if len(s)]
-                    win, anc, place, doc_ = win[first], anc[first], place[first], doc_[first]
+                    win, chk, anc, place, doc_ = win[first], chk[first], anc[first], place[first], doc_[first]
                     if len(win):
                         new = np.r_[True, (anc[1:] != anc[:-1]) | (doc_[1:] != doc_[:-1]) | (np.diff(place) != 1)]
                         at = np.flatnonzero(new)
-                        raw = np.ascontiguousarray(win.view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
+                        raw = np.hstack([win.view(np.uint8).reshape(-1, 8), chk.view(np.uint8).reshape(-1, 4)]).tobytes()
                         ends = np.append(at[1:], len(win)).tolist()
                         yield {
                             "anchor": anc[at].view(np.int64),
@@ -198,7 +202,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     goes on in the next batch only the window hashes seen are carried."""
 
     def run(batches):
-        last, seen = None, np.empty(0, np.uint64)
+        last, seen, seen_chk = None, np.empty(0, np.uint64), np.empty(0, "<u4")
         for batch in batches:
             anchor = batch.column(0).to_numpy().view(np.uint64)
             doc, start = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -218,20 +222,24 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
             sel = np.flatnonzero(busy)
             sizes = np.array([len(data[k]) // BYTES for k in rows_[sel].tolist()])
             raw = np.frombuffer(b"".join([data[k] for k in rows_[sel].tolist()]), np.uint8).reshape(-1, BYTES)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :BYTES] = raw
+            chk = np.ascontiguousarray(raw[:, 8:]).view("<u4").ravel()
             owner = np.repeat(np.arange(len(sel)), sizes)
             place = start[sel][owner] + np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            window = mix64(wide.view(np.uint64).ravel() ^ mix64(anchor[sel])[owner])
+            window = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
+            window = mix64(window ^ mix64(anchor[sel])[owner])
             d = doc[sel][owner]
-            order = np.argsort(window, kind="stable")  # rows come in document order
-            w = window[order]
+            if not carried:
+                seen, seen_chk = seen[:0], seen_chk[:0]
+            w, c = np.append(seen, window), np.append(seen_chk, chk)
+            order = np.lexsort((c, w))  # stable: what was seen first, then rows in document order
+            again = (w[order[1:]] == w[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
             repeat = np.zeros(len(w), bool)
-            repeat[order[1:][w[1:] == w[:-1]]] = True
-            if carried:
-                repeat |= (anchor[sel][owner] == last) & np.isin(window, seen)
-            mine = window[anchor[sel][owner] == anchor[-1]]
-            seen = np.unique(np.append(seen, mine) if carried and anchor[-1] == last else mine)
+            repeat[order[1:][again]] = True
+            repeat = repeat[len(seen) :]
+            new = (anchor[sel][owner] == anchor[-1]) & ~repeat
+            if not (carried and anchor[-1] == last):
+                seen, seen_chk = seen[:0], seen_chk[:0]
+            seen, seen_chk = np.append(seen, window[new]), np.append(seen_chk, chk[new])
             last = anchor[-1]
             d, place = d[repeat], place[repeat]
             if len(d):

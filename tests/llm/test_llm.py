@@ -447,3 +447,21 @@ def test_license_gate_is_implied_by_the_threshold():
         for share in shares.values():
             needed = licenses.needed_terms(share, 0.36)
             assert needed and sum(x for t, x in share.items() if t not in needed) < 0.36
+
+
+def test_substring_dedup_tells_windows_of_an_anchor_apart(spark, monkeypatch):
+    """One phrase with other words around it in every text, and window hashes that
+    agree in their low 40 bits."""
+    monkeypatch.setattr(substring_dedup, "reference_shards", lambda *a, **k: [])
+    real, high = substring_dedup.ngram_hashes, np.uint64((2**24 - 1) << 40)
+    monkeypatch.setattr(substring_dedup, "ngram_hashes", lambda w, n: real(w, n) & high if n == 20 else real(w, n))
+    rng = random.Random(3)
+    texts = {k: " ".join(passage(rng, 19) + "alpha beta gamma delta epsilon".split() + passage(rng, 19)) for k in range(300)}
+    texts[300] = texts[7]
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert rows_of(substring_dedup.remove_repeats(frame)) == brute_removal(texts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert rows_of(substring_dedup.remove_repeats(frame)) == brute_removal(texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
