@@ -204,8 +204,13 @@ def scan(files: DataFrame, threshold: float = 0.6, speaks: Column | None = None)
 
 def page_files(pages: DataFrame) -> DataFrame:
     """Web pages as files: the address without scheme, query and fragment is the path,
-    every tag ends a line."""
-    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/+$", "")
+    every tag ends a line. ``file`` is a path of the page's own in the same directory; a
+    page without address has one without directory."""
+    path = F.regexp_replace("url", "(?i)^[a-z][a-z0-9+.-]*://", "")
+    path = F.regexp_replace(F.regexp_replace(path, "(?s)[?#].*", ""), "/+$", "")
     return pages.select(
-        "page_id", path.alias("path"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text")
+        "page_id",
+        path.alias("path"),
+        F.concat_ws("\t", path, "page_id").alias("file"),
+        F.regexp_replace("html", "<[^>]*>", "\n").alias("text"),
     )

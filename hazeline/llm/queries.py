@@ -35,8 +35,8 @@ def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, d: str) -> DataFrame:
     files = licenses.page_files(table(spark, d, "pages"))
-    found = licenses.scan(files)
-    return files.select("page_id", "path").join(found, "path")
+    found = licenses.scan(files.select(F.col("file").alias("path"), "text")).withColumnRenamed("path", "file")
+    return files.select("path", "page_id", "file").join(found, "file").drop("file")
 
 
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:

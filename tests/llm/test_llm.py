@@ -465,3 +465,16 @@ def test_substring_dedup_tells_windows_of_an_anchor_apart(spark, monkeypatch):
         assert rows_of(substring_dedup.remove_repeats(frame)) == brute_removal(texts)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_license_query_keeps_every_page_apart(spark, tmp_path):
+    mit, none = "<p>Released under the MIT License.</p>", "<p>nothing</p>"
+    pages = [
+        (1, "HTTPS://h.org/a/x?page=1", mit), (2, "https://h.org/a/x?page=2", "<p>Licensed under CC BY-NC 4.0.</p>"),
+        (3, "Http://h.org/a/y", none), (4, None, mit), (5, None, none), (6, "plain", none), (7, "other", mit), (8, "h.org/a/z#f", none),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op2_license_scan"](spark, str(tmp_path)).collect()}
+    assert {k: r.own for k, r in got.items()} == {1: "MIT", 2: "CC-BY-NC-4.0", 3: None, 4: "MIT", 5: None, 6: None, 7: "MIT", 8: None}
+    assert got[3].origin == got[8].origin == "h.org/a" and got[3].licence and got[8].licence
+    assert got[5].licence is got[6].licence is None and got[4].path is None
