@@ -17,6 +17,7 @@ from hazeline.llm import (
     substring_dedup,
     token_counts,
     token_files,
+    whitening,
 )
 from hazeline.llm.oracle import ORACLES as ORACLES
 from hazeline.session import scratch_path
@@ -82,10 +83,15 @@ def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, d, "documents"), BYTE_BPE)
 
 
+def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"), components=8)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_license_scan, op3_mixing, op4_embedding_dedup, op5_substring_dedup,
         op6_token_files, op7_language_id, op8_imatch, op9_ngram_join, op10_bpe_automaton,
+        op11_whitening,
     )
 }
