@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hazeline.llm import (
     bpe_automaton,
+    decontamination,
     embedding_dedup,
     imatch,
     language_id,
@@ -87,11 +88,15 @@ def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
     return whitening.whiten(table(spark, d, "embeddings"), components=8)
 
 
+def op13_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontamination.report(decontamination.scan(table(spark, d, "documents"), table(spark, d, "benchmark")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_license_scan, op3_mixing, op4_embedding_dedup, op5_substring_dedup,
         op6_token_files, op7_language_id, op8_imatch, op9_ngram_join, op10_bpe_automaton,
-        op11_whitening,
+        op11_whitening, op13_decontamination,
     )
 }
