@@ -33,6 +33,10 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[t]) for n, t in (f.split(None, 1) for f in ddl.split(", "))])
 
 
+def as_array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind, from_pandas=False)
+
+
 def map_batches(
     df: DataFrame, ddl: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]]
 ) -> DataFrame:
@@ -42,13 +46,19 @@ def map_batches(
     def run(batches):
         schema = arrow_schema(ddl)
         for out in fn(batches):
-            columns = [pa.array(out[f.name], f.type, from_pandas=False) for f in schema]
+            columns = [as_array(out[f.name], f.type) for f in schema]
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return df.mapInArrow(run, ddl)
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + size - 1`` of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def columns(batch: pa.RecordBatch) -> list[list]:
     return [batch.column(i).to_pylist() for i in range(batch.num_columns)]
 

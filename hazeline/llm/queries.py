@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.llm import (
+    alignment,
     bpe_automaton,
     decontamination,
     embedding_dedup,
@@ -88,6 +89,10 @@ def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
     return whitening.whiten(table(spark, d, "embeddings"), components=8)
 
 
+def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(table(spark, d, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op13_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.report(decontamination.scan(table(spark, d, "documents"), table(spark, d, "benchmark")))
 
@@ -97,6 +102,6 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_license_scan, op3_mixing, op4_embedding_dedup, op5_substring_dedup,
         op6_token_files, op7_language_id, op8_imatch, op9_ngram_join, op10_bpe_automaton,
-        op11_whitening, op13_decontamination,
+        op11_whitening, op12_alignment, op13_decontamination,
     )
 }
