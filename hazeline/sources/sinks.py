@@ -6,12 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hazeline.session import scratch_path
 from hazeline.sources.files import CSV_SPACES
 
 LAYERS = ["bronze", "silver", "gold"]
 CLUSTER_KEYS = ["country", "city", "date"]
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Evaluate the rows once, into the shared folder, and go on from there. What reads
+    them again, or runs again after a failure, reads the files."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_layers(spark: SparkSession, names: Sequence[str] = tuple(LAYERS)) -> None:
     for name in names:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hazeline import schemas as S
 from hazeline.operators.dedup import dedup_latest
-from hazeline.operators.incremental import only_new
+from hazeline.operators.incremental import MONTH, load_batch, only_new, write_months
 from hazeline.operators.quality import FEED_GATES, expect_or_drop
+from hazeline.sources.sinks import staged
 
 
 def landed_stream(
@@ -37,22 +39,20 @@ def load_new(
     gates: Mapping[str, str] = FEED_GATES,
     reduce: Callable[[DataFrame], DataFrame] = dedup_latest,
 ) -> StreamingQuery:
-    """Append to the Parquet folder ``out`` the rows whose key it does not hold yet,
-    then stop once everything landed so far is in.
+    """Append to the Parquet folder ``out``, laid out by month, the rows whose key it does
+    not hold yet, then stop once everything landed so far is in.
 
     State is the target itself, not a watermark: late rows are never dropped, and a
     micro-batch that is run again after a failure finds its rows already present.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = reduce(expect_or_drop(batch, gates)).persist()
-        target = spark.read.schema(fresh.schema).parquet(out)
-        only_new(fresh, target, keys).write.mode("append").parquet(out)
-        fresh.unpersist()
-
-    empty = stream.sparkSession.createDataFrame([], stream.schema)
-    reduce(empty).write.mode("ignore").parquet(out)
+        load_batch(reduce(expect_or_drop(batch, gates)), out, keys)
+
+    return _start(stream, write, checkpoint)
+
+
+def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
@@ -61,6 +61,72 @@ def load_new(
     )
 
 
+FIRST, BATCH = "_first", "batch"
+
+
+def marked_first(
+    stream: DataFrame, keys: Sequence[str] = S.READING_KEYS, event: str = "date", delay: str = "30 days"
+) -> DataFrame:
+    """The rows of a stream, and beside them one row marked ``FIRST`` for every key that is
+    in time and was not seen before. Keys seen are kept in the state store until the
+    watermark (the newest ``event`` less ``delay``) has passed them by ``delay``, so the
+    state holds the keys of some weeks, however long the stream runs. Rows later than the
+    watermark, or without a date, get no mark."""
+    seen = (
+        stream.withColumn("_at", F.col(event).try_cast("timestamp"))
+        .filter("_at IS NOT NULL")
+        .withWatermark("_at", delay)
+        .select(*keys, "_at")
+        .dropDuplicatesWithinWatermark(list(keys))
+        .select(*keys, F.lit(True).alias(FIRST))
+    )
+    return stream.withColumn(FIRST, F.lit(False)).unionByName(seen, allowMissingColumns=True)
+
+
+def loaded(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """What ``load_with_state`` has written, with the columns ``MONTH`` and ``BATCH``."""
+    full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType()), T.StructField(MONTH, T.StringType())])
+    spark.createDataFrame([], full).write.mode("ignore").partitionBy(BATCH, MONTH).parquet(out)
+    return spark.read.schema(full).option("basePath", out).parquet(out)
+
+
+def batch_writer(
+    out: str, keys: Sequence[str] = S.READING_KEYS, reduce: Callable[[DataFrame], DataFrame] = dedup_latest
+) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch of ``marked_first``: keys marked go in at once, all others only
+    if no earlier batch has written them. A batch has a folder of its own, so one that is
+    run again replaces what its first run left."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, batch = batch.sparkSession, staged(batch, "micro-batch")
+        firsts = batch.filter(FIRST).select(*keys, FIRST)
+        rows = reduce(batch.filter(f"NOT {FIRST}").drop(FIRST)).join(firsts, list(keys), "left")
+        rows = staged(rows, "reduced")
+        others = rows.filter(F.col(FIRST).isNull()).drop(FIRST)
+        earlier = loaded(spark, out, others.schema).filter(F.col(BATCH) < number)
+        fresh = rows.filter(FIRST).drop(FIRST).unionByName(only_new(others, earlier, keys))
+        write_months(fresh, f"{out}/{BATCH}={number}", mode="overwrite")
+
+    return write
+
+
+def load_with_state(
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    keys: Sequence[str] = S.READING_KEYS,
+    gates: Mapping[str, str] = FEED_GATES,
+    reduce: Callable[[DataFrame], DataFrame] = dedup_latest,
+    event: str = "date",
+    delay: str = "30 days",
+) -> StreamingQuery:
+    """As ``load_new``, but keys in time are told from repeats by a state store bounded by
+    a watermark and never meet the target. Only repeats and rows later than the watermark
+    are looked up there, in their months, so no row is lost for being late."""
+    marked = marked_first(expect_or_drop(stream, gates), keys, event, delay)
+    return _start(marked, batch_writer(out, keys, reduce), checkpoint)
+
+
 def stream_ingest(
     spark: SparkSession, landing: str, out: str, checkpoint: str, **options
 ) -> None:

@@ -1060,7 +1060,64 @@ def stream_ingest(spark, d):
         part.write.mode("append").parquet(landing)
         stream = ingest.landed_stream(spark, landing, raw.schema)
         ingest.load_new(stream, out, state, reduce=dedup.dedup_best).awaitTermination()
-    return spark.read.parquet(out)
+    return incremental.read_months(spark, out, raw.schema).drop(incremental.MONTH)
+
+
+def _named(source: str) -> str:
+    """Rows of a source with standard names and dates, and a key."""
+    return f"""SELECT * FROM (
+      SELECT try_cast(date AS DATE) AS date, {O._fill('country', 'city')} AS country, city, specie,
+        count, min, max, median, variance
+      FROM (SELECT * REPLACE (CASE WHEN country = 'NG' THEN {O._extract('city')} ELSE city END AS city)
+            FROM (SELECT * REPLACE ({O._alias('country')} AS country) FROM {source})))
+    WHERE date IS NOT NULL AND country IS NOT NULL"""
+
+
+def _loads_sql(*loads: str) -> str:
+    """What is there after loads in turn: of each key the best row of its first load."""
+    rows = " UNION ALL ".join(f"SELECT *, {k} AS load FROM ({q})" for k, q in enumerate(loads, 1))
+    return f"""SELECT * FROM ({rows}) QUALIFY row_number() OVER
+        (PARTITION BY date, country, city, specie ORDER BY load, {O.BEST}) = 1"""
+
+
+def _numbered(*loads: DataFrame) -> list[DataFrame]:
+    return [df.select(*DATA).withColumn("load", F.lit(k)) for k, df in enumerate(loads, 1)]
+
+
+@register(
+    "incremental_load",
+    ["raw", "increment"],
+    _loads_sql(_named("raw") + " AND date < DATE '2021-09-01' AND specie <> 'bc'", _named("increment")),
+)
+def incremental_load(spark, d):
+    """Two loads into one folder. The second brings what is newer than the first, what it
+    has already, and one species whose days in between arrive late."""
+    first = silver.standardised(A.readings_raw(spark, d)).filter("date < DATE '2021-09-01' AND specie <> 'bc'")
+    second = silver.standardised(A.readings_increment(spark, d))
+    out = scratch_path(spark, "loaded")
+    for batch in _numbered(first, second):
+        incremental.load_batch(dedup.dedup_best(batch), out)
+    return incremental.read_months(spark, out, batch.schema).drop(incremental.MONTH)
+
+
+@register(
+    "stream_state",
+    ["raw", "increment"],
+    _loads_sql(
+        _named("raw") + " AND date < DATE '2021-06-01' AND specie <> 'bc'", _named("increment"), _named("raw")
+    ),
+)
+def stream_state(spark, d):
+    """Three landings, with a restart from the checkpoint between them: the past without
+    one species, later readings, and at last everything, most of it known, some of it
+    years late."""
+    raw, increment = (silver.standardised(f(spark, d)) for f in (A.readings_raw, A.readings_increment))
+    landing, out, state = (scratch_path(spark, x) for x in ("landing", "stream", "stream-state"))
+    for part in _numbered(raw.filter("date < DATE '2021-06-01' AND specie <> 'bc'"), increment, raw):
+        part.write.mode("append").parquet(landing)
+        stream = ingest.landed_stream(spark, landing, part.schema)
+        ingest.load_with_state(stream, out, state, reduce=dedup.dedup_best).awaitTermination()
+    return ingest.loaded(spark, out, part.schema).select(*part.columns)
 
 
 @register("clustered_layout", ["clean"], f"SELECT {', '.join(DATA)} FROM clean")
