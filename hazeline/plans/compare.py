@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -128,6 +128,7 @@ def focus_vs_peers(
     dim_locations: DataFrame,
     focus: str = S.FOCUS_COUNTRY,
     peers: Sequence[str] = tuple(S.PEER_COUNTRIES),
+    observed: Observation | None = None,
 ) -> DataFrame:
     """Focus cities and peer countries in one table. The fact is built once."""
     cities = city_stats(fact, dim_locations, list(dict.fromkeys([focus, *peers])))
@@ -150,4 +151,4 @@ def focus_vs_peers(
         F.col("population").alias("population_at_risk"),
         risk_category(pm25).alias("risk_category"),
     )
-    return expect_or_drop(view, COMPARISON_GATES)
+    return expect_or_drop(view, COMPARISON_GATES, observed)

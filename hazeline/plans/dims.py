@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -20,7 +20,9 @@ from hazeline.operators.quality import (
 from hazeline.sources.inline import date_spine, pollutant_rows, surrogate_key
 
 
-def dim_locations(places: DataFrame, unique: bool = True) -> DataFrame:
+def dim_locations(
+    places: DataFrame, unique: bool = True, observed: Observation | None = None
+) -> DataFrame:
     """Places with coverage measures. A key listed with several attribute sets would
     multiply every fact row that joins to it, so by default one row per key is kept:
     most stations, then population, lat, lon. ``unique=False`` keeps them all."""
@@ -32,7 +34,7 @@ def dim_locations(places: DataFrame, unique: bool = True) -> DataFrame:
         "population",
         "n_stations",
     )
-    base = expect_or_drop(base, LOCATION_GATES)
+    base = expect_or_drop(base, LOCATION_GATES, observed)
     if unique:
         base = top1_per_group(base, ["country", "city"], ["n_stations", "population", "lat", "lon"])
     else:
@@ -52,15 +54,18 @@ def dim_locations(places: DataFrame, unique: bool = True) -> DataFrame:
     )
 
 
-def dim_pollutants(spark: SparkSession) -> DataFrame:
+def dim_pollutants(spark: SparkSession, observed: Observation | None = None) -> DataFrame:
     keyed = surrogate_key(pollutant_rows(spark), "specie_name", "pollutant_key")
     return expect_or_drop(
-        keyed.select("pollutant_key", *pollutant_rows(spark).columns), POLLUTANT_GATES
+        keyed.select("pollutant_key", *pollutant_rows(spark).columns), POLLUTANT_GATES, observed
     )
 
 
 def dim_dates(
-    spark: SparkSession, start: str = S.SPINE_START, last_offset: int = S.SPINE_LAST_OFFSET
+    spark: SparkSession,
+    start: str = S.SPINE_START,
+    last_offset: int = S.SPINE_LAST_OFFSET,
+    observed: Observation | None = None,
 ) -> DataFrame:
     d = F.col("date")
     days = date_spine(spark, start, last_offset).select(
@@ -78,4 +83,4 @@ def dim_dates(
         season(d).alias("season"),
         *[flag.alias(name) for name, flag in calendar_flags(d).items()],
     )
-    return expect_or_drop(days, DATE_GATES)
+    return expect_or_drop(days, DATE_GATES, observed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -38,10 +38,11 @@ def fact_daily(
     dim_locations: DataFrame,
     species: Sequence[str] = S.SPECIES,
     known_only: bool = False,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """Daily fact from the stored, already deduplicated readings."""
     fact = _daily(pivot_daily(clean, species, known_only), dim_locations, species)
-    return expect_or_drop(fact, FACT_GATES)
+    return expect_or_drop(fact, FACT_GATES, observed)
 
 
 def fact_daily_from_readings(

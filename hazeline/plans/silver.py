@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -16,6 +16,7 @@ from hazeline.functions.text import (
     parse_date,
 )
 from hazeline.operators.dedup import dedup_best
+from hazeline.operators.quality import CLEAN_GATES, expect_or_drop
 from hazeline.operators.sets import union_sources
 
 
@@ -30,6 +31,7 @@ def standardised(
     focus: str = S.FOCUS_COUNTRY,
     cities: Sequence[str] = S.FOCUS_CITIES,
     city_map: Mapping[str, str] = S.CITY_COUNTRY,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """Union of all sources with dates parsed, countries and cities standardised and
     the row gates applied. Row-wise only: no shuffle.
@@ -37,7 +39,8 @@ def standardised(
     The gates come before the deduplication, which they do not affect (they test its
     keys), so that rows without a key never meet in one task. They are also put in
     terms of the columns as landed: a filter on the cleaned columns would be pushed
-    below them with the whole cleaning expression in it."""
+    below them with the whole cleaning expression in it. With ``observed`` what each
+    gate drops is counted, and the gates stay behind the cleaning."""
     sources = [
         drop_audit(df).withColumn("date", parse_date(F.col("date"))).select(*S.READING_DATA.names)
         for df in (hist, *increments)
@@ -52,11 +55,12 @@ def standardised(
         & (city.isNotNull() | (country == focus))
         & (country.isNotNull() | country_of_city(city, city_map).isNotNull())
     )
-    return (
-        aliased.filter(complete)
+    cleaned = (
+        (aliased if observed else aliased.filter(complete))
         .withColumn("city", clean_city(country, city, focus, cities))
         .withColumn("country", fill_country(country, city, city_map))
     )
+    return expect_or_drop(cleaned, CLEAN_GATES, observed) if observed else cleaned
 
 
 def readings_clean(hist: DataFrame, *increments: DataFrame, **options) -> DataFrame:

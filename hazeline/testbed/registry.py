@@ -4,6 +4,7 @@ and computed doubles are rounded, since engines add up in different orders."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
@@ -22,6 +23,7 @@ from hazeline.plans import (
     dims,
     facts,
     features,
+    layers,
     model,
     places,
     reports,
@@ -1120,6 +1122,9 @@ def stream_state(spark, d):
     return ingest.loaded(spark, out, part.schema).select(*part.columns)
 
 
+LAYOUT_FILTERS = {"day": "date = DATE '2021-03-15'", "city": "city = 'Lagos'"}
+
+
 @register("clustered_layout", ["clean"], f"SELECT {', '.join(DATA)} FROM clean")
 def clustered_layout(spark, d):
     """Clean readings written in the clustered layout and read back."""
@@ -1128,6 +1133,121 @@ def clustered_layout(spark, d):
     return spark.read.parquet(out)
 
 
+@register(
+    "layout_pruning",
+    ["clean"],
+    " UNION ALL ".join(
+        f"SELECT {', '.join(DATA)}, '{name}' AS picked_by FROM clean WHERE {condition}"
+        for name, condition in LAYOUT_FILTERS.items()
+    ),
+)
+def layout_pruning(spark, d):
+    """A day and a city out of clean readings laid out along a curve through the ranges of
+    country, city and date."""
+    out = scratch_path(spark, "z-ordered")
+    sinks.write_z_ordered(clean(spark, d).select(*DATA), out)
+    rows = spark.read.parquet(out)
+    return sets.union_sources(
+        *[rows.filter(condition).withColumn("picked_by", F.lit(name)) for name, condition in LAYOUT_FILTERS.items()]
+    )
+
+
+# ---------------------------------------------------------------- tables and layers
+
+
+def _profile_sql(step: str, source: str, columns: int) -> str:
+    return f"""SELECT '{step}' AS step, specie, count(*) AS n_rows, {columns} AS n_columns,
+      CAST(sum(count) AS BIGINT) AS samples FROM {source} GROUP BY specie"""
+
+
+@register(
+    "table_round_trip",
+    ["raw", "increment"],
+    " UNION ALL ".join(
+        [
+            _profile_sql("created", "raw", len(DATA)),
+            _profile_sql("created again", "raw", len(DATA)),
+            _profile_sql("overwritten", "increment", len(DATA) + 1),
+            f"SELECT 'emptied', NULL, 0, {len(S.READING.names)}, NULL",
+        ]
+    ),
+)
+def table_round_trip(spark, d):
+    """Tables in a schema of their own in the session catalog: made from one source, left
+    alone by a second attempt, replaced by rows with one more column, and replaced by a
+    source without rows. Each state is read by name."""
+    schema = f"round_trip_{uuid.uuid4().hex}"
+    table = f"{schema}.readings"
+
+    def state(step):
+        rows = files.read_table(spark, table)
+        by = ["specie"] if step != "emptied" else []
+        found = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum("count").alias("samples"))
+        specie = F.col("specie") if by else F.lit(None).cast("string")
+        counted = found.select(
+            F.lit(step).alias("step"), specie.alias("specie"), "n_rows",
+            F.lit(len(rows.columns)).alias("n_columns"), "samples",
+        )
+        return sinks.staged(counted, "state")
+
+    try:
+        for _ in range(2):
+            sinks.ensure_layers(spark, [schema])
+        sinks.create_if_absent(A.readings_raw(spark, d), table)
+        states = [state("created")]
+        sinks.create_if_absent(A.readings_increment(spark, d).select(*DATA), table)
+        states.append(state("created again"))
+        sinks.overwrite_table(A.readings_increment(spark, d).select(*DATA, F.lit(2).alias("load")), table)
+        states.append(state("overwritten"))
+        sinks.overwrite_table(files.empty_readings(spark), table)
+        states.append(state("emptied"))
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{schema}` CASCADE")
+    return sets.union_sources(*states)
+
+
+#: Layer, dataset, a column to add up, and the query whose statement says its rows.
+LAYERS = [
+    ("bronze", "readings", "count", "union_sources"),
+    ("silver", "readings_clean", "count", "readings_clean"),
+    ("gold", "dim_locations", "population", "dim_locations"),
+    ("gold", "dim_pollutants", "pollutant_key", "dim_pollutants"),
+    ("gold", "dim_dates", "date_key", "dim_dates"),
+    ("gold", "fact_daily", "pm25_count", "fact_daily"),
+    ("gold", "fact_aggregated", "total_days_measured", "fact_aggregated"),
+    ("gold", "focus_vs_peers", "population", "focus_vs_peers"),
+    ("gold", "ml_features", "year", "ml_features"),
+]
+
+
+@register(
+    "layers_built",
+    [],
+    " UNION ALL ".join(
+        f"""SELECT '{layer}' AS layer, '{dataset}' AS dataset, count(*) AS n_rows,
+        CAST(sum({column}) AS BIGINT) AS total,
+        {f"(SELECT dropped FROM ({ORACLES['gate_counts']}))" if dataset == "readings_clean" else 0} AS dropped
+        FROM ({ORACLES[query]})"""
+        for layer, dataset, column, query in LAYERS
+    ),
+)
+def layers_built(spark, d):
+    """All layers built as files and published, with what is then in them."""
+    root = scratch_path(spark, "layers")
+    sources = [A.readings_raw(spark, d), A.readings_increment(spark, d)]
+    version = layers.build(spark, root, sources, A.places(spark, d))
+    dropped = layers.gate_counts(spark, root).filter((F.col("version") == version) & (F.col("rule") == "dropped"))
+    totals = [
+        layers.read(spark, root, dataset).agg(F.sum(column).cast("long").alias("total")).withColumn("dataset", F.lit(dataset))
+        for _, dataset, column, _ in LAYERS
+    ]
+    rows = layers.published(spark, root).filter(F.col("version") == version).join(sets.union_sources(*totals), "dataset")
+    failed = dropped.select("dataset", F.col("failed").alias("dropped"))
+    return rows.join(failed, "dataset", "left").select(
+        "layer", "dataset", "n_rows", "total", F.coalesce("dropped", F.lit(0).cast("long")).alias("dropped")
+    )
+
+
 # ---------------------------------------------------------------- model
 
 ERROR = f"{S.TARGET} - pm25_30d_avg"
