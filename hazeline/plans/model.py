@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -33,8 +33,12 @@ COLUMN_SHARE = "0.8"
 SEED = 42
 BINS = 256
 VALID_SHARE = 0.1  # of the training rows, held back to end the boosting
-TOLERANCE = 0.01  # least relative gain of a round on them
+PATIENCE = 10  # rounds that end it when they gain too little together
+LEAST_GAIN = 0.05  # share of the error on held-back rows that they must gain
+FIRST_ROUNDS = 32  # tried at first; twice as many each time until patience runs out
 VALID = "_validation"
+FOLD = "_fold"
+DRAWS = 10_000
 SEARCH_SPACE = {
     "maxDepth": (3, 9),
     "stepSize": (0.01, 0.21),
@@ -45,23 +49,53 @@ SEARCH_SPACE = {
 }
 
 
+# Inputs that a row may lack; each has an indicator beside it.
+MAY_LACK = [
+    "population", "n_stations", "population_per_station", "monitoring_density_score", "lat", "lon",
+    "pm10_30d_avg", "no2_30d_avg", "pm25_7d_volatility", "pm25_lag_14d", "pm25_trend",
+]
+
+
+def key_draw(seed: int, parts: int = DRAWS) -> Column:
+    """A number below ``parts`` drawn by place and date. It depends on neither the order
+    nor the partitioning of the rows, and any engine that has md5 draws the same."""
+    key = F.concat_ws("|", F.lit(str(seed)), "country", "city", F.col("date").cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(parts))
+
+
 def to_float(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+def flags(features: Sequence[str] = tuple(S.FEATURES)) -> list[str]:
+    """Inputs that get an indicator of being missing."""
+    return [c for c in features if c in MAY_LACK]
+
+
 def assembler(features: Sequence[str] = tuple(S.FEATURES)) -> list:
-    """Stages that cast, fill and pack the inputs; saved along with the model."""
+    """Stages that cast, fill, flag and pack the inputs; saved along with the model."""
     filled = [f"coalesce(cast(`{c}` as double), {MISSING}D) AS `_in_{c}`" for c in features]
+    lacking = [f"cast(`{c}` IS NULL as double) AS `_in_{c}_missing`" for c in flags(features)]
+    names = [f"_in_{c}" for c in features] + [f"_in_{c}_missing" for c in flags(features)]
     return [
-        SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_in_{c}" for c in features], outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, {', '.join(filled + lacking)} FROM __THIS__"),
+        VectorAssembler(inputCols=names, outputCol="features"),
     ]
 
 
+def inputs(df: DataFrame, features: Sequence[str] = tuple(S.FEATURES)) -> DataFrame:
+    """Rows with a target, their inputs as the trees get them, and the indicators as
+    ``<input>_missing``."""
+    rows = assembler(features)[0].transform(to_float(require_target(df), features))
+    names = {f"_in_{c}": c for c in features} | {f"_in_{c}_missing": f"{c}_missing" for c in flags(features)}
+    kept = [c for c in df.columns if c not in features]
+    return rows.select(*kept, *[F.col(c).alias(name) for c, name in names.items()])
+
+
 def assemble(df: DataFrame, features: Sequence[str] = tuple(S.FEATURES)) -> DataFrame:
     for stage in assembler(features):
         df = stage.transform(df)
-    return df.drop(*[f"_in_{c}" for c in features])
+    return df.drop(*[c for c in df.columns if c.startswith("_in_")])
 
 
 def split(
@@ -71,17 +105,25 @@ def split(
     seed: int = SEED,
     cut_date: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and hold-out rows. ``hash`` draws by key, so it does not depend on how
-    rows are partitioned; ``date`` holds out everything from ``cut_date`` on, which
-    keeps overlapping windows from leaking across the split."""
+    """Training and hold-out rows. ``hash`` draws by key; ``date`` holds out everything
+    from ``cut_date`` on, which keeps overlapping windows from leaking across the split."""
     if mode == "date":
         held = F.col("date") >= F.lit(cut_date).cast("date")
     else:
-        draw = F.pmod(F.xxhash64(F.lit(seed), "country", "city", "date"), F.lit(10_000))
-        held = draw >= int(train_share * 10_000)
+        held = key_draw(seed) >= int(train_share * DRAWS)
     return df.filter(~held), df.filter(held)
 
 
+def marked(train: DataFrame, seed: int = SEED) -> DataFrame:
+    """Training rows with a mark on those held back to end the boosting."""
+    return train.withColumn(VALID, key_draw(seed + 1) < int(VALID_SHARE * DRAWS))
+
+
+def folded(train: DataFrame, folds: int, seed: int = SEED) -> DataFrame:
+    """Training rows with the number of their fold."""
+    return train.withColumn(FOLD, key_draw(seed + 2, folds).cast("int"))
+
+
 def _regressor(target: str, rounds: int, **params) -> GBTRegressor:
     settings = {
         "maxDepth": MAX_DEPTH,
@@ -90,8 +132,6 @@ def _regressor(target: str, rounds: int, **params) -> GBTRegressor:
         "featureSubsetStrategy": COLUMN_SHARE,
         "seed": SEED,
         "maxBins": BINS,
-        "validationIndicatorCol": VALID,
-        "validationTol": TOLERANCE,
         **params,
     }
     return GBTRegressor(
@@ -105,11 +145,19 @@ def _regressor(target: str, rounds: int, **params) -> GBTRegressor:
     )
 
 
-def _marked(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with a mark on those held back, drawn by their values, so that neither the
-    partitioning nor a repeated task changes the draw."""
-    draw = F.pmod(F.xxhash64(F.lit(SEED + 1), *columns), F.lit(10_000))
-    return rows.withColumn(VALID, draw < int(VALID_SHARE * 10_000))
+def rounds_made(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
+
+
+def rounds_to_keep(errors: Sequence[float], patience: int, least_gain: float) -> int | None:
+    """Number of rounds up to the best error, if the last ``patience`` rounds have gained
+    too little on the best before them; None while they still gain."""
+    if len(errors) <= patience:
+        return None
+    before, after = min(errors[:-patience]), min(errors[-patience:])
+    if before - after > least_gain * before:
+        return None
+    return min(range(len(errors)), key=errors.__getitem__) + 1
 
 
 def fit_gbt(
@@ -117,16 +165,34 @@ def fit_gbt(
     features: Sequence[str] = tuple(S.FEATURES),
     target: str = S.TARGET,
     rounds: int = ROUNDS,
+    patience: int = PATIENCE,
+    least_gain: float = LEAST_GAIN,
     **params,
 ) -> PipelineModel:
-    """Boosted trees on squared error, of ``rounds`` rounds at most: boosting ends when the
-    held-back rows gain less than ``TOLERANCE`` from a round. The training rows and every tenth round are
+    """Boosted trees on squared error, of ``rounds`` rounds at most. Boosting ends when the
+    last ``patience`` rounds together took less than ``least_gain`` of the error on held-back
+    rows, and rounds after the best are then left out. A round's trees depend on the rounds
+    before it only, so tries of ``FIRST_ROUNDS``, then twice as many, and so on agree where
+    they overlap, and cost about twice the last one. The rows and every tenth round are
     checkpointed in the shared folder: features are computed once, and a lost executor
     replays neither them nor the boosting history."""
     shared_dir(train.sparkSession)
-    rows = require_target(train, target).select(*features, F.col(target).cast("double"))
-    rows = _marked(rows, features).checkpoint()
-    return Pipeline(stages=[*assembler(features), _regressor(target, rounds, **params)]).fit(rows)
+    rows = marked(require_target(train, target)).select(*features, F.col(target).cast("double"), VALID)
+    packer = Pipeline(stages=assembler(features)).fit(rows)
+    rows = packer.transform(rows).select("features", target, VALID).checkpoint()
+    fitting, held = rows.filter(f"NOT {VALID}"), rows.filter(VALID)
+    tried, watched = min(FIRST_ROUNDS, rounds), not held.isEmpty()
+    while True:
+        trees = _regressor(target, tried, **params).fit(fitting)
+        errors = trees.evaluateEachIteration(held, "squared") if watched else []
+        best = rounds_to_keep(errors, patience, least_gain) if watched else tried
+        if best is not None or tried == rounds:
+            break
+        tried = min(2 * tried, rounds)
+    best = best or min(range(tried), key=errors.__getitem__) + 1
+    if best < tried:
+        trees = _regressor(target, best, **params).fit(fitting)
+    return PipelineModel([*packer.stages, trees])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -141,9 +207,10 @@ def evaluate(predictions: DataFrame, target: str = S.TARGET) -> DataFrame:
 def importances(
     model: PipelineModel, spark: SparkSession, features: Sequence[str] = tuple(S.FEATURES)
 ) -> DataFrame:
-    """One row per input, most important first."""
+    """One row per input and per indicator, most important first."""
     weights = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(w)) for name, w in zip(features, weights)]
+    names = [*features, *(f"{c}_missing" for c in flags(features))]
+    rows = [(name, float(w)) for name, w in zip(names, weights)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
@@ -222,12 +289,14 @@ def search(
     train: DataFrame,
     n: int = 5,
     folds: int = 2,
-    rounds: int = ROUNDS,
+    rounds: int = FIRST_ROUNDS,
     features: Sequence[str] = tuple(S.FEATURES),
     target: str = S.TARGET,
     seed: int = SEED,
+    parallel: int = 2,
 ) -> CrossValidatorModel:
-    """Random search by cross-validated mean absolute error."""
+    """Random search by cross-validated mean absolute error over folds drawn by key, some
+    fits at a time. ``rounds`` is the same for all draws."""
     shared_dir(train.sparkSession)
     gbt = _regressor(target, rounds)
     grid = [
@@ -241,7 +310,8 @@ def search(
         ),
         numFolds=folds,
         seed=seed,
+        foldCol=FOLD,
+        parallelism=parallel,
     )
-    rows = require_target(train, target).withColumn(target, F.col(target).cast("double"))
-    rows = assemble(_marked(rows, features), features)
-    return validator.fit(rows.select("features", target, VALID).checkpoint())
+    rows = folded(require_target(train, target), folds, seed).withColumn(target, F.col(target).cast("double"))
+    return validator.fit(assemble(rows, features).select("features", target, FOLD).checkpoint())

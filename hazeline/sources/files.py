@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 from hazeline import schemas as S
 
 AUDIT = ["_ingest_ts", "_source_file", "_source_format"]
+SENT_CHARS = 4_000_000  # of leading lines that are sent to every task
 # Blanks around a value belong to it.
 CSV_SPACES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -40,54 +40,69 @@ def read_parquet_audited(
     return with_audit(reader.parquet(path), "parquet")
 
 
-def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header lines of the files at ``path`` and the files that have each. Only the first
-    line of a file's first split leaves its task."""
+def first_lines(spark: SparkSession, path: str, n: int) -> list[tuple[str, list[str]]]:
+    """The first ``n`` lines of every file at ``path``, with the file. A task has one file,
+    opens it, and stops after its first batch of lines, however long the file is. The
+    result is as long as the listing of files that any scan of them makes."""
 
-    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = batch.filter(pc.equal(batch["_block_start"], 0)).select(["_line", "_source_file"])
-            files = heads["_source_file"].to_pylist()
-            first = [k for k, f in enumerate(files) if f not in seen and not seen.add(f)]
-            if first:
-                yield heads.take(first)
-
-    lines = spark.read.text(path).select(
-        F.col("value").alias("_line"),
-        F.col("_metadata.file_path").alias("_source_file"),
-        F.col("_metadata.file_block_start").alias("_block_start"),
+            yield batch.slice(0, n)
+            return
+
+    # A session of its own, so that files are not split or packed together here only.
+    planning = spark.newSession()
+    for option in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        planning.conf.set(option, 1 << 50)
+    planning.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", max(n, 100))
+    lines = planning.read.text(path).select(
+        F.col("_metadata.file_path").alias("_source_file"), F.col("value").alias("_line")
     )
     found: dict[str, list[str]] = {}
-    for r in lines.mapInArrow(first_lines, "_line string, _source_file string").collect():
-        found.setdefault(r["_line"], []).append(r["_source_file"])
+    for r in lines.mapInArrow(run, "_source_file string, _line string").collect():
+        found.setdefault(r["_source_file"], []).append(r["_line"])
+    return sorted(found.items())
+
+
+def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header lines of the files at ``path`` and the files that have each."""
+    found: dict[str, list[str]] = {}
+    for file, lines in first_lines(spark, path, 1):
+        found.setdefault(lines[0], []).append(file)
     return found
 
 
+def header_fields(header: str, schema: T.StructType) -> list[T.StructField]:
+    """Fields in the order of a header line; names go by case-folded text, the first of
+    several that are alike counts, and what the schema does not have is text."""
+    known = {f.name.lower(): f for f in schema.fields}
+    fields: list[T.StructField] = []
+    for k, name in enumerate(next(csv.reader([header.lstrip("\ufeff")]), [])):
+        field = known.get(name.strip().lower())
+        new = field is not None and field.name not in {f.name for f in fields}
+        fields.append(T.StructField(field.name, field.dataType) if new else T.StructField(f"_unused_{k}", T.StringType()))
+    return fields
+
+
+def _of_schema(columns: Iterable[str], schema: T.StructType) -> list[Column]:
+    """Columns of the schema; those that are not there are null."""
+    have = set(columns)
+    return [
+        (F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields
+    ]
+
+
 def read_csv_audited(
     spark: SparkSession, path: str, schema: T.StructType = S.READING_DATA
 ) -> DataFrame:
     """CSV with a header line; columns go by name, whatever their case and order, which
     may differ between files. Columns that the schema does not have are left out, those
     a file does not have are null. One read for each header that occurs."""
-    known = {f.name.lower(): f for f in schema.fields}
     parts = []
     for header, paths in sorted(csv_headers(spark, path).items()):
-        names = next(csv.reader([header.lstrip("\ufeff")]))
-        fields = []
-        for k, name in enumerate(names):
-            field = known.get(name.strip().lower())
-            new = field is not None and field.name not in {f.name for f in fields}
-            fields.append(
-                T.StructField(field.name, field.dataType) if new else T.StructField(f"_unused_{k}", T.StringType())
-            )
-        rows = spark.read.schema(T.StructType(fields)).options(header=True, **CSV_SPACES).csv(paths)
-        have = set(rows.columns)
-        kept = [
-            (F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-        parts.append(with_audit(rows, "csv").select(*kept, *AUDIT))
+        fields = T.StructType(header_fields(header, schema))
+        rows = spark.read.schema(fields).options(header=True, **CSV_SPACES).csv(paths)
+        parts.append(with_audit(rows, "csv").select(*_of_schema(rows.columns, schema), *AUDIT))
     if not parts:
         return with_audit(spark.createDataFrame([], schema), "csv", "")
     return reduce(DataFrame.unionByName, parts)
@@ -101,24 +116,6 @@ def empty_readings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], S.READING)
 
 
-def _drop_leading_lines(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        for batch in batches:
-            heads = pc.unique(batch.filter(pc.equal(batch["_block_start"], 0))["_source_file"])
-            for path in heads.to_pylist():
-                if seen.get(path, 0) >= n:
-                    continue
-                own = pc.equal(batch["_source_file"], path)
-                place = pc.cumulative_sum(own.cast(pa.int64()))
-                drop = pc.and_(own, pc.less_equal(place, n - seen.get(path, 0)))
-                seen[path] = seen.get(path, 0) + pc.sum(drop).as_py()
-                batch = batch.filter(pc.invert(drop))
-            yield batch.select(["_line", "_source_file"])
-
-    return run
-
-
 def read_csv_preamble(
     spark: SparkSession,
     path: str,
@@ -128,24 +125,35 @@ def read_csv_preamble(
 ) -> DataFrame:
     """CSV files whose first ``skip`` lines are prose, followed by a header line.
 
-    Lines of a file are delivered in order within each of its splits, so counting the
-    lines of the split that starts at byte 0 finds the preamble exactly: files stay
-    splittable, nothing is shuffled, and a task that is run again drops the same
-    lines. Python only sees lines to drop some; parsing stays in the JVM. Fields are
-    taken by position, and quoted line breaks are not supported.
-    """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("_line"),
-        F.col("_metadata.file_path").alias("_source_file"),
-        F.col("_metadata.file_block_start").alias("_block_start"),
-    )
-    body = lines.mapInArrow(
-        _drop_leading_lines(skip + int(header)), "_line string, _source_file string"
-    ).filter(F.trim("_line") != "")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return body.select(F.from_csv("_line", fields, CSV_SPACES).alias("_row"), "_source_file").select(
-        "_row.*", "_source_file"
-    )
+    Columns go by the header's names, as in ``read_csv_audited``; without a header, by
+    position. The leading lines of each file are known before the scan and taken out of
+    its first split by their text, so files stay splittable and the scan stays in the
+    JVM; a line of that split that repeats one of them word for word goes as well. Blank
+    lines are left out, quoted line breaks are not supported."""
+    n = skip + int(header)
+    groups: dict[str | None, list[tuple[str, list[str]]]] = {}
+    for file, lines in first_lines(spark, path, n):
+        if len(lines) >= n:  # else there is no more than a preamble
+            groups.setdefault(lines[skip] if header else None, []).append((file, lines))
+    parts = []
+    for line, members in groups.items():
+        fields = schema.fields if line is None else header_fields(line, schema)
+        known = [(file, text, 0) for file, lines in members for text in set(lines)]
+        leading = spark.createDataFrame(known, "_source_file string, _line string, _block_start long")
+        if sum(len(file) + len(text) for file, text, _ in known) < SENT_CHARS:
+            leading = F.broadcast(leading)  # with more files than that, Spark decides
+        rows = spark.read.text([file for file, _ in members]).select(
+            F.col("value").alias("_line"),
+            F.col("_metadata.file_path").alias("_source_file"),
+            F.col("_metadata.file_block_start").alias("_block_start"),
+        )
+        body = rows.filter(F.trim("_line") != "").join(leading, leading.columns, "left_anti")
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        parsed = body.select(F.from_csv("_line", ddl, CSV_SPACES).alias("_row"), "_source_file").select("_row.*", "_source_file")
+        parts.append(parsed.select(*_of_schema([f.name for f in fields], schema), "_source_file"))
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn("_source_file", F.lit(""))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def csv_preamble_to_parquet(

@@ -1319,23 +1319,116 @@ def derived_inputs(spark, d):
     return rounded(out, ["pm25_30d_range"])
 
 
+def _draw_sql(seed: int, parts: int = model.DRAWS) -> str:
+    key = f"concat_ws('|', '{seed}', country, city, CAST(date AS VARCHAR))"
+    return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {parts}"
+
+
+HELD_SQL = f"{_draw_sql(model.SEED)} >= 8000"
+
+
+@register(
+    "model_split",
+    ["features"],
+    f"""SELECT country, city, date, {HELD_SQL} AS held,
+        NOT ({HELD_SQL}) AND {_draw_sql(model.SEED + 1)} < 1000 AS ends_boosting FROM features""",
+)
+def model_split(spark, d):
+    """Each feature row with the part it is drawn into."""
+    train, held = model.split(feature_rows(spark, d))
+    keys = ["country", "city", "date"]
+    return sets.union_sources(
+        model.marked(train).select(*keys, F.lit(False).alias("held"), F.col(model.VALID).alias("ends_boosting")),
+        held.select(*keys, F.lit(True).alias("held"), F.lit(False).alias("ends_boosting")),
+    )
+
+
+@register(
+    "model_inputs",
+    ["features"],
+    "SELECT country, city, date, "
+    + ", ".join(
+        f"round(coalesce(CAST({c} AS DOUBLE), {model.MISSING}::DOUBLE), {D}) AS {c}, "
+        f"CAST({c} IS NULL AS DOUBLE) AS {c}_missing"
+        for c in model.MAY_LACK
+    )
+    + " FROM features WHERE target IS NOT NULL",
+)
+def model_inputs(spark, d):
+    """Inputs as the trees get them: filled, with an indicator for what was missing."""
+    rows = model.inputs(feature_rows(spark, d))
+    both = [name for c in model.MAY_LACK for name in (c, f"{c}_missing")]
+    return rounded(rows.select("country", "city", "date", *both), model.MAY_LACK)
+
+
+@register(
+    "search_folds",
+    ["features"],
+    f"""SELECT CAST({_draw_sql(model.SEED + 2, 2)} AS INTEGER) AS fold, count(*) AS n_rows,
+        round(avg(target), {D}) AS mean_target FROM features WHERE NOT ({HELD_SQL}) GROUP BY 1""",
+)
+def search_folds(spark, d):
+    """The folds that the parameter search fits and compares on."""
+    train, _ = model.split(feature_rows(spark, d))
+    rows = model.folded(model.require_target(train), 2)
+    found = rows.groupBy(F.col(model.FOLD).alias("fold")).agg(
+        F.count("*").alias("n_rows"), F.avg(S.TARGET).alias("mean_target")
+    )
+    return rounded(found, ["mean_target"])
+
+
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _trained(spark, d) -> tuple[DataFrame, str]:
+    """Hold-out rows, and where the model of the training rows is saved. The queries of
+    one session share it."""
+    train, held = model.split(feature_rows(spark, d).drop("created_at"))
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _MODELS:
+        path = scratch_path(spark, "model")
+        model.save_model(model.fit_gbt(train), path)
+        _MODELS[known] = path
+    return held, _MODELS[known]
+
+
 @register("gbt_train_score")
 def gbt_train_score(spark, d):
-    """Hold-out rows with prediction and display columns, trained until the validation
-    rows improve no more."""
-    train, held = model.split(feature_rows(spark, d).drop("created_at"))
-    fitted = model.fit_gbt(train)
-    shown = model.present(model.predict(fitted, held))
+    """Hold-out rows with prediction and display columns, and the rounds that were made
+    before the held-back rows improved no more."""
+    held, path = _trained(spark, d)
+    fitted = model.load_model(path)
+    shown = model.present(model.predict(fitted, held)).withColumn("rounds", F.lit(model.rounds_made(fitted)))
     return shown.select(
         "country", "city", "date", S.TARGET, "prediction", "aqi_label", "risk_tier",
-        "action_tier", "delta_vs_30d", "gauge_pct",
+        "action_tier", "delta_vs_30d", "gauge_pct", "rounds",
     )
 
 
 @register("feature_importance")
 def feature_importance(spark, d):
-    train, _ = model.split(feature_rows(spark, d).drop("created_at"))
-    return model.importances(model.fit_gbt(train), spark)
+    return model.importances(model.load_model(_trained(spark, d)[1]), spark)
+
+
+@register(
+    "saved_model_scores",
+    ["features"],
+    f"""SELECT country, city, date, round(target, {D}) AS actual, true AS same, true AS scored
+        FROM features WHERE {HELD_SQL}""",
+)
+def saved_model_scores(spark, d):
+    """Hold-out rows scored by a model as it was fitted and as it is after it was saved and
+    loaded, with inputs derived anew from date, place and history."""
+    held, path = _trained(spark, d)
+    fitted, again = model.load_model(path), scratch_path(spark, "model")
+    model.save_model(fitted, again)
+    before = model.score(fitted, held).withColumnRenamed("prediction", "before")
+    both = model.score(model.load_model(again), before)
+    shown = both.select(
+        "country", "city", "date", F.col(S.TARGET).alias("actual"),
+        (F.col("prediction") == F.col("before")).alias("same"), (F.col("prediction") > 0).alias("scored"),
+    )
+    return rounded(shown, ["actual"])
 
 
 # ---------------------------------------------------------------- reports

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date, timedelta
 
 import pytest
@@ -118,14 +119,46 @@ def test_model(spark, sf, tmp_path):
     metrics = model.evaluate(scored).first()
     assert metrics.n == held.count() and metrics.rmse >= metrics.mae > 0
     weights = model.importances(fitted, spark).collect()
-    assert len(weights) == 32 and sum(w.importance for w in weights) == pytest.approx(1.0)
+    assert len(weights) == 32 + len(model.MAY_LACK) and sum(w.importance for w in weights) == pytest.approx(1.0)
     assert weights[0].importance >= weights[-1].importance
     assert model.projection_90d(rows).count() == rows.count()
     assert model.draw_params(3) == model.draw_params(3)
     assert set(model.to_float(rows, ["year"]).select("year").dtypes[0]) == {"year", "double"}
+    assert model.rounds_made(fitted) <= 2
+    drawn = {(r.country, r.city, r.date): r.n for r in rows.select("country", "city", "date", model.key_draw(42).alias("n")).collect()}
+    for (country, city, day), n in drawn.items():
+        assert n == int(hashlib.md5(f"42|{country}|{city}|{day}".encode()).hexdigest()[:8], 16) % 10_000
+
+
+def test_boosting_ends_when_rounds_gain_too_little():
+    keep = lambda errors: model.rounds_to_keep(errors, 3, 0.05)
+    assert keep([9, 8, 7]) is None and keep([]) is None  # no more rounds than patience
+    assert keep([100, 90, 80, 70, 60]) is None
+    assert keep([100, 50, 49, 51, 50]) == 3  # the best error, not the last
+    assert keep([100, 50, 49.9, 49.8, 49.7]) == 5
+    assert keep([100, 50, 60, 70, 80]) == 2
+
+
+def test_rounds_are_chosen_on_held_back_rows(spark, monkeypatch):
+    """Noise that no input explains: boosting ends early, and keeps the best rounds."""
+    rows = spark.range(600).select(
+        F.lit("NG").alias("country"), F.lit("a").alias("city"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (F.pmod(F.xxhash64("id"), F.lit(97))).cast("double").alias("x"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100))).cast("double").alias("y"),
+    )
+    monkeypatch.setattr(model, "FIRST_ROUNDS", 6)
+    fitted = model.fit_gbt(rows, ["x"], "y", rounds=50, patience=4, maxDepth=3)
+    assert 1 <= model.rounds_made(fitted) <= 6
+    alone = model.fit_gbt(rows.filter(model.key_draw(model.SEED + 1) >= 1000), ["x"], "y", rounds=3, maxDepth=2)
+    assert model.rounds_made(alone) == 3  # no held-back rows to watch
 
 
 def test_search(spark, sf):
     rows = R.feature_rows(spark, sf)
     best = model.search(rows, n=2, folds=2, rounds=1)
     assert len(best.avgMetrics) == 2
+    drawn = model.draw_params(2)
+    chosen = drawn[min(range(2), key=best.avgMetrics.__getitem__)]
+    assert best.bestModel.getMaxDepth() == chosen["maxDepth"] and best.bestModel.getStepSize() == chosen["stepSize"]
+    assert best.getFoldCol() == model.FOLD and best.getParallelism() == 2

@@ -38,6 +38,30 @@ def test_preamble_is_dropped_once_per_file(spark, tmp_path):
     assert dict(back.groupBy("source_name").count().collect()) == {"a": 4000, "b": 3}
 
 
+def test_preamble_columns_go_by_name(spark, tmp_path):
+    prose = "one\ntwo, of a.csv\n\nfour\n"
+    (tmp_path / "a.csv").write_text(prose + "Country,Date,City,Specie,count,min,max,median,variance\nNG,2020-01-01,Lagos,pm25,1,1,2,1.5,0.1\n")
+    (tmp_path / "b.csv").write_text(prose.replace("a.", "b.") + "extra,MEDIAN,date,country,city,specie,count,min,max\nx,2.5,2020-01-02,KE,\"Nai, robi\",o3,3,1,4\n")
+    (tmp_path / "c.csv").write_text("only\nprose\n")
+    (tmp_path / "d.csv").write_text("")
+    got = files.read_csv_preamble(spark, str(tmp_path / "*.csv")).orderBy("date").collect()
+    assert [(r.date, r.country, r.city, r.median, r.variance) for r in got] == [
+        ("2020-01-01", "NG", "Lagos", 1.5, 0.1), ("2020-01-02", "KE", "Nai, robi", 2.5, None),
+    ]
+    plain = files.read_csv_preamble(spark, str(tmp_path / "a.csv"), skip=5, header=False).collect()
+    assert [(r.date, r.country) for r in plain] == [("NG", "2020-01-01")]
+    assert files.read_csv_preamble(spark, str(tmp_path / "c.csv")).count() == 0
+
+
+def test_first_lines_open_a_file_only_at_its_start(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"{k}.csv").write_text(f"head {k}\n" + "".join(f"{i},x\n" for i in range(60_000)))
+    got = files.first_lines(spark, str(tmp_path), 2)
+    assert [lines for _, lines in got] == [[f"head {k}", "0,x"] for k in range(5)]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != str(1 << 50)
+    assert files.csv_headers(spark, str(tmp_path)).keys() == {f"head {k}" for k in range(5)}
+
+
 def test_bronze_and_sinks(spark, tmp_path):
     rows = [("2020-01-01", "Nigeria", "Lagos ", "pm25", 1, 1.0, 2.0, 1.5, 0.1)]
     df = spark.createDataFrame(rows, S.READING_DATA)
