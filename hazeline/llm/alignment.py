@@ -22,15 +22,18 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.bpe_automaton import Automaton, Encoder, render_bytes
+from hazeline.llm.batch_encoder import BatchEncoder, Labels, in_runs
+from hazeline.llm.bpe_automaton import Automaton
 from hazeline.llm.common import map_batches, spread
 from hazeline.session import scratch_path
 
@@ -38,39 +41,32 @@ BLANK = "▁"  # what stands for a blank in the pieces of B (fixed value)
 B_SIDE = np.uint32(1 << 31)  # marks the ids of B in a window
 
 
-class Labels:
-    """The bytes of all tokens of a vocabulary."""
+def whole_arrays(parts: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and how many each has."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum())), sizes
 
-    def __init__(self, labels: dict[int, bytes]):
-        size = max(labels) + 1
-        parts = [labels.get(i, b"") for i in range(size)]
-        self.size = np.fromiter(map(len, parts), np.int64, size)
-        self.at = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
-        self.marked = np.fromiter((p[:1] == b" " for p in parts), bool, size)
-        self.sizes = self.size.tolist()
 
-    def text(self, ids: np.ndarray) -> bytes:
-        return self.data[spread(self.at[ids], self.size[ids])].tobytes()
-
-
-def whole_arrays(parts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays of ids one after the other, and how many each has."""
-    joined = np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64)
-    return joined, np.fromiter(map(len, parts), np.int64, len(parts))
+def both_at(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two rising lists of the numbers that both hold."""
+    place = np.full(max(a[-1:].max(initial=0), b[-1:].max(initial=0)) + 1, -1, np.int64)
+    place[b] = np.arange(len(b))
+    found = place[a]
+    at = np.flatnonzero(found >= 0)
+    return at, found[at]
 
 
 class Aligner:
     """Both tokenizers, and the windows aligned so far. Whoever goes on with more than
     ``memo`` of them takes what was ``counted`` and calls ``forget``."""
 
-    def __init__(self, a_path: str, b_path: str, memo: int = 200_000):
+    def __init__(self, a_path: str, b_path: str, memo: int = 300_000):
         import sentencepiece
 
         tok = Automaton(a_path)
         self.a = Labels({i: s for i, s in tok.label.items() if i not in tok.special.values()})
         tok.special, tok.split_special = {}, None
-        self.encode_a = Encoder(tok, render_bytes, b"".join, memo)
+        self.encode_a = BatchEncoder(tok, memo)
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b = Labels(
             {
@@ -78,79 +74,101 @@ class Aligner:
                 for i in range(sp.get_piece_size())
             }
         )
+        # Ids as they are written in groups: A within and at the end of its part, B alike.
+        n_a, n_b = len(self.a.size), len(self.b.size)
+        self.written = [f"{i}{c}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for c in ends for i in range(n)]
+        self.base_b = 2 * n_a
         self.memo = memo
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.groups: list[str] = []
+        self.groups: list[str] = []  # each group with a semicolon behind it
         self.links, self.ends = array("q"), array("q", [0])
-        self.seen = np.zeros(0, np.int64)
-
-    def align(self, key: bytes) -> int:
-        """Number of a window that is not known yet."""
-        ids = np.frombuffer(key, np.uint32)
-        split = int((ids < B_SIDE).sum())  # ids of A come first
-        a, b = ids[:split].tolist(), (ids[split:] & ~B_SIDE).tolist()
-        size_a, size_b = self.a.sizes, self.b.sizes
-        out, i, j = [], 0, 0
-        while i < len(a):
-            first_a, first_b = i, j
-            end_a, end_b = size_a[a[i]], size_b[b[j]]
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += size_a[a[i]]
-                    i += 1
-                else:
-                    end_b += size_b[b[j]]
-                    j += 1
-            out.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            self.links.append(a[i - 1] << 32 | b[j - 1])
-        self.known[key] = len(self.groups)
-        self.groups.append(";".join(out))
-        self.ends.append(len(self.links))
-        return len(self.groups) - 1
-
-    def tokens(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and of B for each text; none where they do not give back its bytes."""
-        a = [np.frombuffer(b"".join(r), "<u4").astype(np.int64) for r in self.encode_a([" " + t for t in texts])]
-        b = [np.array(r, np.int64) for r in self.sp.encode(list(texts), num_threads=1)]
-        none = np.empty(0, np.int64)
-        out = []
-        for t, x, y in zip(texts, a, b):
-            data = b" " + t.encode()
-            good = t and self.a.text(x) == data and self.b.text(y) == data
-            out.append((x, y) if good else (none, none))
-        return out
-
-    def windows(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        self.count_anew()
+
+    def count_anew(self) -> None:
+        self.seen = np.zeros(len(self.groups), np.int64)
+
+    def _align(self, keys: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Align windows that are not known yet, all at once: ids of A and B of all
+        windows, one after the other, and how many each window has."""
+        at_a, at_b = both_at(np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b]))
+        # A group's ids of A stand before its ids of B.
+        group_a = np.searchsorted(at_a, np.arange(len(a)))
+        group_b = np.searchsorted(at_b, np.arange(len(b)))
+        code = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[at_a], last_b[at_b] = True, True
+        code[np.arange(len(a)) + np.r_[0, at_b + 1][group_a]] = a + last_a * len(self.a.size)
+        code[np.arange(len(b)) + (at_a + 1)[group_b]] = b + last_b * len(self.b.size) + self.base_b
+        parts = list(map(self.written.__getitem__, code.tolist()))
+        stops = np.cumsum(n_a + n_b).tolist()
+        first = len(self.groups)
+        self.groups += ["".join(parts[s:e]) for s, e in zip([0, *stops], stops)]
+        self.known.update(zip(keys, range(first, first + len(keys))))
+        # Every window ends where a group ends.
+        done = np.searchsorted(at_a, np.cumsum(n_a))
+        self.links.frombytes((a[at_a] * len(self.b.size) + b[at_b]).tobytes())
+        self.ends.frombytes((self.ends[-1] + done).tobytes())
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and how many each text has, and the same of B; none for texts whose
+        ids do not give back their bytes."""
+        nothing, blank = (pa.scalar(c, pa.large_string()) for c in ("", " "))
+        closed = pc.binary_join_element_wise(nothing, texts.cast(pa.large_string()), blank)
+        a, n_a = self.encode_a(closed)
+        b, n_b = whole_arrays(self.sp.encode(texts.to_pylist(), num_threads=1))
+        size = pc.binary_length(closed).to_numpy()
+        raw = np.frombuffer(closed.buffers()[2], np.uint8)[: size.sum()]
+        good = (size > 1) & self._same(self.a, a, n_a, raw, size) & self._same(self.b, b, n_b, raw, size)
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        return a.astype(np.int64), n_a, b, n_b
+
+    @staticmethod
+    def _same(labels: Labels, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+        data = labels.bytes_of(ids)
+        ends = np.r_[0, np.cumsum(labels.size[ids])][np.r_[0, np.cumsum(n)]]
+        stops = np.r_[0, np.cumsum(size)]
+        if len(data) == len(raw) and (data == raw).all():
+            return np.diff(ends) == size
+        return np.array(
+            [
+                e - s == y - x and bool((data[s:e] == raw[x:y]).all())
+                for s, e, x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), stops[:-1].tolist(), stops[1:].tolist())
+            ],
+            bool,
+        )
+
+    def windows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of tokens of A and B of each text, the windows of all texts in order,
         and how many windows each has."""
-        both = self.tokens(texts)
-        a, n_a = whole_arrays([x for x, _ in both])
-        b, n_b = whole_arrays([y for _, y in both])
+        a, n_a, b, n_b = self.tokens(texts)
         size_a, size_b = self.a.size[a], self.b.size[b]
         start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        opens = np.append(start_a, size_a.sum())[first_a[n_a > 0]]
-        shared = np.intersect1d(start_a[self.a.marked[a]], start_b[self.b.marked[b]], assume_unique=True)
-        anchors = np.union1d(shared, opens)
-        at_a = np.append(np.searchsorted(start_a, anchors), len(a))
-        at_b = np.append(np.searchsorted(start_b, anchors), len(b))
+        # Anchors: blank-marked tokens of both that begin at the same byte, and the texts'
+        # own beginnings, where both have such a token.
+        mark_a, mark_b = np.flatnonzero(self.a.marked[a]), np.flatnonzero(self.b.marked[b])
+        at_a, at_b = both_at(start_a[mark_a], start_b[mark_b])
+        at_a, at_b = np.r_[mark_a[at_a], len(a)], np.r_[mark_b[at_b], len(b)]
+        wide_a, wide_b = np.diff(at_a), np.diff(at_b)
         ids = np.empty(len(a) + len(b), np.uint32)
-        ids[np.arange(len(a)) + np.repeat(at_b[:-1], np.diff(at_a))] = a
-        ids[np.arange(len(b)) + np.repeat(at_a[1:], np.diff(at_b))] = b.astype(np.uint32) | B_SIDE
-        data, cuts = ids.tobytes(), (4 * (at_a + at_b)).tolist()
-        known, align = self.known.get, self.align
-        keys = [data[s:e] for s, e in zip(cuts, cuts[1:])]
-        found = [-1 if (k := known(key)) is None else k for key in keys]
-        for place, k in enumerate(found):
-            if k < 0:
-                k = known(keys[place])
-                found[place] = align(keys[place]) if k is None else k
-        n = np.searchsorted(at_a[:-1], first_a + n_a) - np.searchsorted(at_a[:-1], first_a)
-        return n_a, n_b, np.array(found, np.int64), n
+        ids[np.arange(len(a)) + np.repeat(at_b[:-1], wide_a)] = a
+        ids[np.arange(len(b)) + np.repeat(at_a[1:], wide_b)] = b.astype(np.uint32) | B_SIDE
+        data, stops = ids.tobytes(), (4 * (at_a + at_b)).tolist()
+        keys = [data[s:e] for s, e in zip(stops, stops[1:])]
+        found = list(map(self.known.get, keys))
+        new = {key: place for place, (key, k) in enumerate(zip(keys, found)) if k is None}
+        if new:
+            at = np.fromiter(new.values(), np.int64, len(new))
+            self._align(
+                list(new), a[spread(at_a[at], wide_a[at])], wide_a[at], b[spread(at_b[at], wide_b[at])], wide_b[at]
+            )
+            found = list(map(self.known.__getitem__, keys))
+        first = np.r_[0, np.cumsum(n_a)]
+        return n_a, n_b, np.array(found, np.int64), np.diff(np.searchsorted(at_a[:-1], first))
 
     def count(self, windows: np.ndarray) -> None:
         if len(self.seen) < len(self.groups):
@@ -159,13 +177,16 @@ class Aligner:
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """Links of all windows counted so far and how often each occurred."""
-        ends = np.frombuffer(self.ends, np.int64)
-        links = np.frombuffer(self.links, np.int64)
-        times = np.repeat(self.seen, np.diff(ends)[: len(self.seen)])
-        pairs, where = np.unique(links[: len(times)], return_inverse=True)
-        n = np.zeros(len(pairs), np.int64)
-        np.add.at(n, where, times)
-        return pairs[n > 0], n[n > 0]
+        ends = np.array(self.ends, np.int64)[: len(self.seen) + 1]
+        links = np.array(self.links, np.int64)[: ends[-1]]
+        pairs, where = np.unique(links, return_inverse=True)
+        n = np.bincount(where, np.repeat(self.seen, np.diff(ends)), len(pairs)).astype(np.int64)
+        return self._pairs(pairs[n > 0]), n[n > 0]
+
+    def _pairs(self, links: np.ndarray) -> np.ndarray:
+        """Links as they leave a task: the id of A in the upper half, that of B in the lower."""
+        a, b = np.divmod(links, len(self.b.size))
+        return a << 32 | b
 
     def links_of(self, windows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For texts with ``n`` windows each: number of links, and the different links of
@@ -173,14 +194,13 @@ class Aligner:
         ends = np.array(self.ends, np.int64)
         sizes = ends[windows + 1] - ends[windows]
         links = np.array(self.links, np.int64)[spread(ends[windows], sizes)]
+        every = len(self.a.size) * len(self.b.size)
         text = np.repeat(np.repeat(np.arange(len(n)), n), sizes)
-        pairs, where = np.unique(links, return_inverse=True)
-        each, times = np.unique(text * max(len(pairs), 1) + where, return_counts=True)
-        owner = each // max(len(pairs), 1)
-        return (
-            np.bincount(text, minlength=len(n)), pairs[each % max(len(pairs), 1)], times,
-            np.bincount(owner, minlength=len(n)),
-        )
+        code = np.sort(text * every + links)
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+        owner, links = np.divmod(code[first], every)
+        times = np.diff(np.r_[first, len(code)])
+        return np.bincount(text, minlength=len(n)), self._pairs(links), times, np.bincount(owner, minlength=len(n))
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -193,15 +213,6 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _LOADED[a_path, b_path]
 
 
-def in_runs(texts: Sequence[str], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= chars or k == len(texts) - 1:
-            yield a, k + 1
-            a, size = k + 1, 0
-
-
 def list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(values))
 
@@ -217,7 +228,7 @@ def found(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, keep_g
 
     def run(batches):
         both = aligner(a_path, b_path)
-        both.forget()
+        both.count_anew()
         part, row = TaskContext.get().partitionId() << 40, 0
 
         def counts():
@@ -228,22 +239,22 @@ def found(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, keep_g
             }
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            texts = pc.fill_null(batch.column(1), "")
             for s, e in in_runs(texts):
                 if len(both.known) > both.memo:
                     yield counts()
                     both.forget()
-                n_a, n_b, windows, n = both.windows(texts[s:e])
+                n_a, n_b, windows, n = both.windows(texts.slice(s, e - s))
                 both.count(windows)
                 n_links, links, times, different = both.links_of(windows, n)
-                groups, ends = [both.groups[k] for k in windows.tolist()], np.cumsum(n).tolist()
-                whole = [";".join(groups[x:y]) for x, y in zip([0, *ends], ends)]
+                groups, ends = list(map(both.groups.__getitem__, windows.tolist())), np.cumsum(n).tolist()
+                whole = ["".join(groups[x:y])[:-1] for x, y in zip([0, *ends], ends)]
                 yield {
-                    "counts": [False] * (e - s), "row": list(range(part + row, part + row + e - s)), "key": keys[s:e],
-                    "n_a": n_a, "n_b": n_b, "n_groups": n_links,
+                    "counts": [False] * (e - s), "row": np.arange(part + row, part + row + e - s),
+                    "key": batch.column(0).slice(s, e - s), "n_a": n_a, "n_b": n_b, "n_groups": n_links,
                     "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in whole],
                     "groups": whole if keep_groups else [None] * (e - s),
-                    "links": list_array(links, different), "times": list_array(times.astype(np.int64), different),
+                    "links": list_array(links, different), "times": list_array(times, different),
                 }
                 row += e - s
         yield counts()

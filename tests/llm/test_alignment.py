@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,12 +107,13 @@ def test_windows_are_forgotten(spark, monkeypatch):
     monkeypatch.setattr(alignment.in_runs, "__defaults__", (60,))
     both = alignment.aligner(BYTE_BPE, PIECE_BPE)
     texts = [t or "" for _, t in corpus()]
+    whole = pa.array(texts)
     total, windows = Counter(), 0
-    for s, e in alignment.in_runs(texts):
+    for s, e in alignment.in_runs(whole):
         if len(both.known) > both.memo:
             total.update(dict(zip(*(x.tolist() for x in both.counted()))))
             both.forget()
-        _, _, found, n = both.windows(texts[s:e])
+        _, _, found, n = both.windows(whole.slice(s, e - s))
         both.count(found)
         windows += n.sum()
         n_links, links, times, different = both.links_of(found, n)
@@ -134,11 +136,11 @@ LIB = Libraries()
 @given(st.lists(LETTERS, min_size=1, max_size=6))
 def test_groups_equal_the_libraries(texts):
     both = alignment.aligner(BYTE_BPE, PIECE_BPE)
-    n_a, n_b, windows, n = both.windows(texts)
+    n_a, n_b, windows, n = both.windows(pa.array(texts))
     at = 0
     for t, x, y, k in zip(texts, n_a.tolist(), n_b.tolist(), n.tolist()):
         groups = LIB.groups(t)
-        got = ";".join(both.groups[w] for w in windows[at : at + k].tolist())
+        got = "".join(both.groups[w] for w in windows[at : at + k].tolist())[:-1]
         assert got == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
         assert (x, y) == (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups))
         at += k
