@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm.bpe_automaton import encoder
-from hazeline.llm.common import arrow_schema, columns
+from hazeline.llm.batch_encoder import batch_encoder
+from hazeline.llm.common import arrow_schema
 
 SEGMENT = (
     "part int, segment int, offset long, n_docs long, n_ids long, width int, first_doc long, "
@@ -108,20 +108,17 @@ def segments(
     )
 
     def run(batches):
-        encode_all = encoder(path, "bytes")
-        wide = max(max(encode_all.tok.label), end_id) >= 1 << 16
-        end = np.array([end_id], "<u4").tobytes()
+        encode = batch_encoder(path)
+        wide = max(max(encode.tok.label), end_id) >= 1 << 16
         part, k = TaskContext.get().partitionId(), 0
-        keys: list[int] = []
-        held: list[bytes] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, sizes, ids
         total = offset = 0
 
         def close():
-            sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-            ids = np.frombuffer(b"".join(held), "<u4")
+            keys, sizes, ids = (np.concatenate(c) for c in zip(*held))
             values = {
                 "part": part, "segment": k, "offset": offset, "n_docs": len(keys), "n_ids": len(ids), "width": 4 if wide else 2,
-                "first_doc": keys[0], "doc_ids": EliasFano.of(np.array(keys) - keys[0]).to_bytes(),
+                "first_doc": int(keys[0]), "doc_ids": EliasFano.of(keys - keys[0]).to_bytes(),
                 "bounds": EliasFano.of(np.cumsum(sizes)).to_bytes(),
                 "ids": ids.astype("<u4" if wide else "<u2").tobytes(),
             }
@@ -130,17 +127,29 @@ def segments(
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                some, texts = columns(batch.slice(at, 2000))
-                for key_, pieces in zip(some, encode_all(texts)):
-                    doc = b"".join(pieces) + end
-                    if keys and total + len(doc) > 4 * segment_ids:
+                some = batch.slice(at, 2000)
+                keys = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found, sizes = encode(some.column(1))
+                sizes = sizes + 1
+                ends = np.cumsum(sizes)
+                ids = np.full(int(ends[-1]), end_id, np.uint32)
+                inner = np.ones(len(ids), bool)
+                inner[ends - 1] = False
+                ids[inner] = found
+                s = 0
+                while s < len(keys):
+                    # As many documents as fit, and one at least.
+                    room = segment_ids - total + (ends[s - 1] if s else 0)
+                    e = max(int(np.searchsorted(ends, room, "right")), s + (not held))
+                    if e > s:
+                        begin = ends[s - 1] if s else 0
+                        held.append((keys[s:e], sizes[s:e], ids[begin : ends[e - 1]]))
+                        total, s = total + int(ends[e - 1] - begin), e
+                    if s < len(keys):
                         yield close()
-                        offset += total // 4
-                        keys, held, total, k = [], [], 0, k + 1
-                    keys.append(key_)
-                    held.append(doc)
-                    total += len(doc)
-        if keys:
+                        offset, total, k = offset + total, 0, k + 1
+                        held.clear()
+        if held:
             yield close()
 
     return rows.mapInArrow(run, SEGMENT)
