@@ -10,9 +10,9 @@ anchor that a shard holds on, matching statistics give for every window the earl
 place of its words in the shard, and settle it when that lies before. What no shard
 settles is grouped by anchor: one row for the windows that share an anchor, with two
 window hashes, is sent to where all windows of that anchor meet, in document order. Two
-windows count as equal when the anchor's 64 bits and the 64 and 32 of the hashes are, so
-equality holds also among many different windows of one anchor. Maximal spans of
-removed windows are cut out at last."""
+windows count as equal when the anchor's 64 bits and the 64 and 8 of the hashes are: among
+a million different windows of one anchor, a false equality has odds of one to some ten
+thousand million. Maximal spans of removed windows are cut out at last."""
 
 from __future__ import annotations
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from hazeline.llm.common import WordHashes, columns, map_batches, mix64, ngram_hashes, words_of
 
 ANCHOR = 5
-BYTES = 12  # of a window's two hashes beside its anchor's
+BYTES = 9  # of a window's two hashes beside its anchor's
+HEAD = 13  # bytes before them: a mark, the document, the start of the first window
 SECOND = np.uint64(0xD1B54A32D192ED03)  # for the second hash words are mixed with this
 
 
@@ -133,9 +134,10 @@ def window_anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
-    """``anchor, doc, start, data, done``: windows that share an anchor and lie side by
-    side, as the hash bytes of each from ``start`` on; or (``done``) starts that are
-    settled. A window that a batch holds twice is settled but for its first place."""
+    """``anchor, data``: windows that share an anchor and lie side by side, as the hash
+    bytes of each; or starts that are settled. In front stand a mark (0: settled), the
+    document and the first start, in an order that bytes sort by. A window that a batch
+    holds twice is settled but for its first place."""
 
     def run(batches):
         hashes = WordHashes()
@@ -157,7 +159,7 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
                     starts = np.flatnonzero(keep)
                     wins.append(ngram_hashes(words, length)[starts])
                     second = ngram_hashes(mix64(words ^ SECOND), length)[starts]
-                    checks.append((second >> np.uint64(32)).astype("<u4"))
+                    checks.append((second >> np.uint64(56)).astype(np.uint8))
                     ancs.append(anchors[starts])
                     places.append(starts)
                     docs_.append(np.full(len(starts), doc))
@@ -175,25 +177,38 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
                     if len(win):
                         new = np.r_[True, (anc[1:] != anc[:-1]) | (doc_[1:] != doc_[:-1]) | (np.diff(place) != 1)]
                         at = np.flatnonzero(new)
-                        raw = np.hstack([win.view(np.uint8).reshape(-1, 8), chk.view(np.uint8).reshape(-1, 4)]).tobytes()
+                        raw = np.hstack([win.view(np.uint8).reshape(-1, 8), chk.reshape(-1, 1)]).tobytes()
+                        front = heads(1, doc_[at], place[at])
                         ends = np.append(at[1:], len(win)).tolist()
                         yield {
                             "anchor": anc[at].view(np.int64),
-                            "doc": doc_[at],
-                            "start": place[at],
-                            "data": [raw[BYTES * a : BYTES * b] for a, b in zip(at.tolist(), ends)],
-                            "done": np.zeros(len(at), bool),
+                            "data": [h + raw[BYTES * a : BYTES * b] for h, a, b in zip(front, at.tolist(), ends)],
                         }
                 if done:
+                    front = heads(0, np.array([d for d, _ in done], np.int64), np.zeros(len(done), np.int64))
                     yield {
                         "anchor": mix64(np.arange(len(done))).view(np.int64),
-                        "doc": [d for d, _ in done],
-                        "start": [0] * len(done),
-                        "data": [s.astype("<u4").tobytes() for _, s in done],
-                        "done": [True] * len(done),
+                        "data": [h + s.astype("<u4").tobytes() for h, (_, s) in zip(front, done)],
                     }
 
-    return map_batches(docs, "anchor long, doc long, start long, data binary, done boolean", run)
+    return map_batches(docs, "anchor long, data binary", run)
+
+
+def heads(mark: int, doc: np.ndarray, start: np.ndarray) -> list[bytes]:
+    rows = np.empty((len(doc), HEAD), np.uint8)
+    rows[:, 0] = mark
+    rows[:, 1:9] = (doc.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    rows[:, 9:] = start.astype(">u4").view(np.uint8).reshape(-1, 4)
+    raw = rows.tobytes()
+    return [raw[k : k + HEAD] for k in range(0, len(raw), HEAD)]
+
+
+def heads_read(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks, documents and starts of rows."""
+    rows = np.frombuffer(b"".join([d[:HEAD] for d in data]), np.uint8).reshape(-1, HEAD)
+    doc = np.ascontiguousarray(rows[:, 1:9]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+    start = np.ascontiguousarray(rows[:, 9:]).view(">u4").ravel().astype(np.int64)
+    return rows[:, 0], doc.view(np.int64), start
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -202,14 +217,14 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     goes on in the next batch only the window hashes seen are carried."""
 
     def run(batches):
-        last, seen, seen_chk = None, np.empty(0, np.uint64), np.empty(0, "<u4")
+        last, seen, seen_chk = None, np.empty(0, np.uint64), np.empty(0, np.uint8)
         for batch in batches:
             anchor = batch.column(0).to_numpy().view(np.uint64)
-            doc, start = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            data, done = batch.column(3).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(done).tolist():
-                yield {"doc": [doc[k]], "starts": [data[k]]}
-            rows_ = np.flatnonzero(~done)
+            data = batch.column(1).to_pylist()
+            mark, doc, start = heads_read(data)
+            if len(settled := np.flatnonzero(mark == 0)):
+                yield {"doc": doc[settled], "starts": [data[k][HEAD:] for k in settled.tolist()]}
+            rows_ = np.flatnonzero(mark)
             if not len(rows_):
                 continue
             anchor, doc, start = anchor[rows_], doc[rows_], start[rows_]
@@ -220,9 +235,9 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
             busy[:-1] |= same
             busy |= (anchor == anchor[-1]) | (carried & (anchor == anchor[0]))
             sel = np.flatnonzero(busy)
-            sizes = np.array([len(data[k]) // BYTES for k in rows_[sel].tolist()])
-            raw = np.frombuffer(b"".join([data[k] for k in rows_[sel].tolist()]), np.uint8).reshape(-1, BYTES)
-            chk = np.ascontiguousarray(raw[:, 8:]).view("<u4").ravel()
+            sizes = np.array([(len(data[k]) - HEAD) // BYTES for k in rows_[sel].tolist()])
+            raw = np.frombuffer(b"".join([data[k][HEAD:] for k in rows_[sel].tolist()]), np.uint8).reshape(-1, BYTES)
+            chk = np.ascontiguousarray(raw[:, 8])
             owner = np.repeat(np.arange(len(sel)), sizes)
             place = start[sel][owner] + np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             window = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
@@ -250,7 +265,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
                 ends = np.append(at[1:], len(d)).tolist()
                 yield {"doc": d[at], "starts": [raw4[4 * a : 4 * b] for a, b in zip(at.tolist(), ends)]}
 
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
+    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "data")
     return map_batches(ordered, "doc long, starts binary", run)
 
 
