@@ -11,22 +11,17 @@ still began ``t``. The compiled table keeps, per token, its right and left edge
 rank at which each part was absorbed; arcs are read off these edges and then kept.
 
 A word has one accepted path. Its transitions are tables (``token_table``), and the
-pre-split words of many texts go through them in step. Decoding emits the arc labels,
-the bytes of the tokens."""
+pre-split words of many texts go through them in step (``batch_encoder`` does so for whole
+batches). Decoding emits the arc labels, the bytes of the tokens."""
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from hazeline.llm.common import columns, map_batches
 from hazeline.llm.token_table import TokenTable
 
 #: Pre-tokenization of byte-level vocabularies (fixed value).
@@ -42,8 +37,7 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """The compiled merges of a ``tokenizers`` byte-level BPE file.
-"""
+    """The compiled merges of a ``tokenizers`` byte-level BPE file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -125,188 +119,3 @@ class Automaton:
     def words(self, text: str) -> list[str]:
         """Pre-split of a text without special strings."""
         return self.pre_split(text)
-
-
-def standalone(piece: str) -> bool:
-    """Whether a blank and ``piece`` are pre-split by themselves wherever they stand: the
-    pre-split looks over an end only where white space stands there."""
-    return bool(piece) and not (piece[0].isspace() or piece[-1].isspace())
-
-
-class Encoder:
-    """Whole texts to lists of rendered pieces. Pieces are what blanks part a text into;
-    the rendered forms of up to ``memo`` pieces and words are remembered, the first ones
-    longest, as frequent words come first. ``render`` makes a list of what is kept of
-    each string, from all ids of a group of strings and the strings' numbers of ids;
-    ``join`` makes one of several."""
-
-    def __init__(self, tok: Automaton, render: Callable, join: Callable, memo: int = 600_000):
-        self.tok, self.render, self.join, self.memo = tok, render, join, memo
-        self.known: dict[str, object] = {}
-        self.known_words: dict[str, object] = {}
-
-    def _trim(self) -> None:
-        for name in ("known", "known_words"):
-            if len(memo := getattr(self, name)) > self.memo:
-                setattr(self, name, dict(islice(memo.items(), self.memo // 2)))
-
-    def _learn_words(self, words: set[str]) -> None:
-        if new := [w for w in words if w not in self.known_words]:
-            ids, n = self.tok.run([w.encode("utf-8") for w in new])
-            self.known_words.update(zip(new, self.render(ids, n)))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """None is kept for pieces that are not pre-split by themselves."""
-        new = pieces - self.known.keys()
-        plain, rest, split = [], [], []
-        for p in new:
-            if p.isalpha():
-                plain.append(p)
-            elif standalone(p):
-                rest.append(p)
-                split.append(self.tok.words(" " + p))
-            else:
-                self.known[p] = None
-        if plain:
-            ids, n = self.tok.run([b" " + p.encode("utf-8") for p in plain])
-            self.known.update(zip(plain, self.render(ids, n)))
-        self._learn_words({w for words in split for w in words})
-        known, words, join = self.known, self.known_words, self.join
-        for p, parts in zip(rest, split):
-            known[p] = join([words[w] for w in parts])
-
-    def __call__(self, texts: Sequence[str]) -> Iterator[list]:
-        for at in range(0, len(texts), 2000):
-            yield from self._group(texts[at : at + 2000])
-
-    def _group(self, texts: Sequence[str]) -> Iterator[list]:
-        self._trim()
-        special = self.tok.special
-        parted: list[list] = []
-        for t in texts:
-            pieces = [] if any(s in t for s in special) else t.split(" ")
-            if pieces and (pieces[0] or len(pieces) == 1) and not pieces[0][-1:].isspace():
-                parted.append(pieces)
-            else:
-                parted.append([])
-        self._learn(set().union(*(pieces[1:] for pieces in parted)))
-        known = self.known
-        for k, pieces in enumerate(parted):
-            if pieces:
-                out = [known[p] for p in pieces[1:]]
-                if None in out:
-                    pieces = []
-                else:
-                    parted[k] = [self.tok.words(pieces[0]), out]
-            if not pieces:
-                parted[k] = [self._whole(texts[k]), []]
-        self._learn_words({w for words, _ in parted for w in words if isinstance(w, str)})
-        words = self.known_words
-        for first, out in parted:
-            yield [words[w] if isinstance(w, str) else self._id(w) for w in first] + out
-
-    def _whole(self, text: str) -> list[str | int]:
-        special = self.tok.special
-        parts = self.tok.split_special.split(text) if self.tok.split_special else [text]
-        return [w for p in parts for w in ([special[p]] if p in special else self.tok.words(p))]
-
-    def _id(self, token: int):
-        return self.render(np.array([token], np.int32), np.array([1]))[0]
-
-
-def _spans(n: np.ndarray):
-    ends = np.cumsum(n)
-    return zip((ends - n).tolist(), ends.tolist())
-
-
-def render_text(ids: np.ndarray, n: np.ndarray) -> list[str]:
-    """Decimal ids joined by commas."""
-    written = list(map(str, ids.tolist()))
-    return [",".join(written[a:b]) for a, b in _spans(n)]
-
-
-def render_bytes(ids: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Ids as little-endian unsigned 32-bit integers."""
-    raw = ids.astype("<u4").tobytes()
-    return [raw[4 * a : 4 * b] for a, b in _spans(n)]
-
-
-_LOADED: dict[str, Automaton] = {}
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def automaton(path: str) -> Automaton:
-    """The automaton of a file, compiled once per process."""
-    if path not in _LOADED:
-        _LOADED[path] = Automaton(path)
-    return _LOADED[path]
-
-
-def encoder(path: str, kind: str) -> Encoder:
-    """An encoder with its memory, one per process: ``text`` or ``bytes``."""
-    if (path, kind) not in _ENCODERS:
-        render, join = (render_text, ",".join) if kind == "text" else (render_bytes, b"".join)
-        _ENCODERS[path, kind] = Encoder(automaton(path), render, join)
-    return _ENCODERS[path, kind]
-
-
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, ids array<int>`` of every document; a null text counts as empty. A
-    narrow pass: repeated keys, null keys and any other columns do not matter, and an
-    empty table gives no rows."""
-
-    def run(batches):
-        encode_all = encoder(path, "bytes")
-        for batch in batches:
-            keys, texts = columns(batch)
-            rows = encode_all([t or "" for t in texts])
-            yield {"key": keys, "ids": [np.frombuffer(b"".join(r), "<u4").tolist() for r in rows]}
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return map_batches(rows, "key long, ids array<int>", run).withColumnRenamed("key", key)
-
-
-def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``key, text`` of rows of ids; the inverse of ``encode``. Null ids give ''."""
-
-    def run(batches):
-        label = automaton(path).label
-        for batch in batches:
-            keys, rows = columns(batch)
-            texts = [b"".join([label[i] for i in r or ()]).decode("utf-8", "replace") for r in rows]
-            yield {"key": keys, "text": texts}
-
-    rows = encoded.select(F.col(key).cast("long").alias("key"), F.col(ids).alias("ids"))
-    return map_batches(rows, "key long, text string", run).withColumnRenamed("key", key)
-
-
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode every document and return only digests of both: ``key,
-    n_tokens, ids_sha256, decoded_sha256``. Texts are decoded from the written ids,
-    piece by piece. Nulls, ties and other columns as in ``encode``."""
-
-    def run(batches):
-        encode_all = encoder(path, "text")
-        label, labels = encode_all.tok.label, {}
-
-        def read(written: str) -> bytes:
-            if len(labels) > 300_000:
-                labels.clear()
-            out = labels[written] = b"".join([label[int(i)] for i in written.split(",")])
-            return out
-
-        sha = hashlib.sha256
-        for batch in batches:
-            keys, texts = columns(batch)
-            out: dict[str, list] = {"key": keys, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for parts in encode_all([t or "" for t in texts]):
-                ids = ",".join(parts)
-                back = b"".join([labels.get(p) or read(p) for p in parts]).decode("utf-8", "replace")
-                out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
-                out["ids_sha256"].append(sha(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(sha(back.encode()).hexdigest())
-            yield out
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ddl = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(rows, ddl, run).withColumnRenamed("key", key)

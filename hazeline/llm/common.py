@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -33,6 +34,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[t]) for n, t in (f.split(None, 1) for f in ddl.split(", "))])
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system: workers live on from task to
+    task and from stage to stage, and an allocator keeps what the largest of them took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not with this C library
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind, from_pandas=False)
 
@@ -49,6 +60,7 @@ def map_batches(
             columns = [as_array(out[f.name], f.type) for f in schema]
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        give_back()
 
     return df.mapInArrow(run, ddl)
 

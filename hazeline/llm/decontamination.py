@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import map_batches, mix64, ngram_hashes, written
+from hazeline.llm.common import map_batches, mix64, ngram_hashes, spread, written
 
 SHINGLE = 5
 #: Longest word that is hashed together with others.
@@ -71,12 +71,6 @@ def powers() -> list[np.ndarray]:
     return _POWERS
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers ``start .. start + size - 1`` of all ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 class Words:
     """The words of texts (an array of large strings) that each end in a separator.
 

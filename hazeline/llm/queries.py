@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hazeline.llm import (
     alignment,
-    bpe_automaton,
+    batch_encoder,
     decontamination,
     embedding_dedup,
     imatch,
@@ -82,7 +82,7 @@ def op9_ngram_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
-    return bpe_automaton.digests(table(spark, d, "documents"), BYTE_BPE)
+    return batch_encoder.digests(table(spark, d, "documents"), BYTE_BPE)
 
 
 def op11_whitening(spark: SparkSession, d: str) -> DataFrame:

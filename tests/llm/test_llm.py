@@ -3,6 +3,7 @@ long texts, ties, repeats and columns with clashing names, and on empty tables."
 
 import hashlib
 import heapq
+import math
 import random
 import zlib
 
@@ -12,11 +13,12 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from hazeline.llm import (
-    bpe_automaton,
+    batch_encoder,
     embedding_dedup,
     imatch,
     language_id,
@@ -87,29 +89,18 @@ def test_counter_equals_sentencepiece(texts):
     assert count([" " + t.replace("▁", " ") if t else "" for t in texts]) == [len(x) for x in sp.encode(texts)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(LETTERS, min_size=1, max_size=6))
-def test_automaton_equals_tokenizers(texts):
-    lib = Tokenizer.from_file(BYTE_BPE)
-    encode = bpe_automaton.encoder(BYTE_BPE, "text")
-    for t, parts in zip(texts, encode(texts)):
-        ids = [int(i) for i in ",".join(parts).split(",") if i]
-        assert ids == lib.encode(t, add_special_tokens=False).ids
-        assert b"".join(encode.tok.label[i] for i in ids).decode() == lib.decode(ids, skip_special_tokens=False)
-
-
 def test_bpe_automaton(docs, nothing):
     lib = Tokenizer.from_file(BYTE_BPE)
     ids = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in texts_of().items()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = {i: (len(x), sha(",".join(map(str, x))), sha(texts_of()[i] or "")) for i, x in ids.items()}
-    assert rows_of(bpe_automaton.digests(docs, BYTE_BPE)) == want
-    encoded = bpe_automaton.encode(docs, BYTE_BPE)
+    assert rows_of(batch_encoder.digests(docs, BYTE_BPE)) == want
+    encoded = batch_encoder.encode(docs, BYTE_BPE)
     assert {i: r[0] for i, r in rows_of(encoded).items()} == ids
-    assert {i: r[0] for i, r in rows_of(bpe_automaton.decode(encoded, BYTE_BPE)).items()} == {
+    assert {i: r[0] for i, r in rows_of(batch_encoder.decode(encoded, BYTE_BPE)).items()} == {
         i: t or "" for i, t in texts_of().items()
     }
-    assert bpe_automaton.digests(nothing, BYTE_BPE).count() == 0
+    assert batch_encoder.digests(nothing, BYTE_BPE).count() == 0
 
 
 def test_token_files(spark, docs, nothing, tmp_path):
@@ -347,7 +338,10 @@ def test_pipeline(spark, sf):
     left = {i: (kept if gone else left[i]) for i, (n, gone, kept) in cut.items() if gone < n or not n}
     source = {r.doc_id: r.source for r in rows}
     frame = spark.createDataFrame([(i, t, source[i]) for i, t in left.items()], "doc_id long, text string, source string")
-    times = {r.doc_id: -(-r.taken // r.size) for r in mixing.mix(frame).where("taken > 0").collect()}
+    taken = mixing.taken_words(mixing.sized(frame, "doc_id", "text", "source"), 1.5, (3, 1, 2), 2, 1024, 17)
+    hashes = taken.select("key", F.xxhash64("key", F.lit(21)).alias("h"), "source_no", F.xxhash64("source_no", F.lit(20)).alias("g"))
+    hashes = hashes.collect()
+    times = copies(taken.collect(), {r.key: r.h for r in hashes}, {r.source_no: r.g for r in hashes})
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
     for i, n in times.items():
@@ -357,6 +351,27 @@ def test_pipeline(spark, sf):
     assert sorted(got) == sorted(want)
 
 
+def copies(rows, key_hash, source_hash):
+    """How often each document stands: the whole part of ``taken / size``, and once more
+    where the fractions, added up along the line of its source, pass a whole number."""
+    unit, times = 1 << 30, {}
+    for source in {r.source_no for r in rows}:
+        line = []
+        for r in rows:
+            if r.source_no == source and r.size:
+                part = math.floor(r.taken % r.size * unit / r.size + 0.5)
+                step = math.floor(math.log2(r.size) * 4)
+                line.append((step, r.shard, r.size, key_hash[r.key], r.key, part, r.taken // r.size))
+        total = source_hash[source] % unit
+        for *_, key, part, whole in sorted(line):
+            times[key] = whole + ((total + part) // unit - total // unit)
+            total += part
+        kept = sum(times[r.key] * r.size for r in rows if r.source_no == source)
+        target = next(r.target for r in rows if r.source_no == source)
+        assert abs(kept - target) <= 0.05 * target + 2 * max(r.size for r in rows if r.source_no == source)
+    return {k: n for k, n in times.items() if n}
+
+
 def brute_classes_fast(texts):
     words = {i: t.encode().lower().split() for i, t in texts.items()}
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
@@ -380,7 +395,7 @@ def test_queries_are_registered(spark):
     import __spark_entry__ as contract
 
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)] == list(QUERIES)
+    assert [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 14)] == list(QUERIES)
 
 
 def test_mixture_keeps_documents_near_the_targets(spark):
