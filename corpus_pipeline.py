@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import bpe_automaton, language_id, mixing, ngram_join, substring_dedup
+from hazeline.llm import batch_encoder, language_id, mixing, ngram_join, substring_dedup
 from hazeline.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,7 +62,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: the ids of every text, with digests of them and of what they decode to."""
-    return bpe_automaton.digests(docs, TOKENIZER)
+    return batch_encoder.digests(docs, TOKENIZER)
 
 
 STAGES = [
