@@ -12,10 +12,12 @@ clearly more frequent there than in the mean of all languages."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import columns, map_batches, mix64
@@ -161,7 +163,8 @@ def learn(
             yield {"lang": langs, "h": hashes, "grams": sets}
 
     rows = map_batches(taken, "lang string, h long, grams array<long>", run)
-    kept = rows.where(F.size("grams") > 0)
+    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("grams"))
+    kept = rows.where(F.size("grams") > 0).withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample)
     per_gram = (
         kept.select("lang", F.explode("grams").alias("gram"))
         .groupBy("lang", "gram")
@@ -182,16 +185,27 @@ def learn(
     return Filters.of(grams)
 
 
-def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, lang_pred, score`` of every row, by its whole text and nothing else. Null
-    texts and texts without a letter are ``und`` with score 0. The filters travel with
-    the tasks; their size is fixed."""
+def predict(
+    docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``key, lang_pred, score`` of every row, by its whole text and nothing else, and the
+    columns to ``keep`` (texts and whole numbers). Null texts and texts without a letter
+    are ``und`` with score 0. A narrow pass: repeated and null keys give a row each, an
+    empty table none. The filters travel with the tasks; their size is fixed."""
+    kinds = dict(docs.dtypes)
+    kept = [(f"_kept_{c}", kinds[c].replace("bigint", "long")) for c in keep]
 
     def run(batches):
         for batch in batches:
-            keys, texts = columns(batch)
-            out = [filters.predict(t) for t in texts]
-            yield {"key": keys, "lang_pred": [x for x, _ in out], "score": [s for _, s in out]}
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return map_batches(rows, "key long, lang_pred string, score double", run).withColumnRenamed("key", key)
+            out = [filters.predict(t) for t in batch.column(1).to_pylist()]
+            yield {"key": batch.column(0), "lang_pred": [x for x, _ in out], "score": [s for _, s in out]} | {
+                name: batch.column(k) for k, (name, _) in enumerate(kept, 2)
+            }
+
+    carried = [F.col(c).alias(name) for c, (name, _) in zip(keep, kept)]
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carried)
+    ddl = ", ".join(["key long, lang_pred string, score double", *(f"{name} {kind}" for name, kind in kept)])
+    found = map_batches(rows, ddl, run)
+    return found.select(
+        F.col("key").alias(key), "lang_pred", "score", *[F.col(name).alias(c) for c, (name, _) in zip(keep, kept)]
+    )

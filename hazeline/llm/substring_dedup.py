@@ -217,7 +217,9 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     goes on in the next batch only the window hashes seen are carried."""
 
     def run(batches):
-        last, seen, seen_chk = None, np.empty(0, np.uint64), np.empty(0, np.uint8)
+        last = None
+        # Of the anchor that goes on: windows seen, and where each was first.
+        seen = [np.empty(0, kind) for kind in (np.uint64, np.uint8, np.int64, np.int64)]
         for batch in batches:
             anchor = batch.column(0).to_numpy().view(np.uint64)
             data = batch.column(1).to_pylist()
@@ -244,17 +246,22 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
             window = mix64(window ^ mix64(anchor[sel])[owner])
             d = doc[sel][owner]
             if not carried:
-                seen, seen_chk = seen[:0], seen_chk[:0]
-            w, c = np.append(seen, window), np.append(seen_chk, chk)
+                seen = [x[:0] for x in seen]
+            w, c, d_all, p_all = (np.append(x, y) for x, y in zip(seen, (window, chk, d, place)))
             order = np.lexsort((c, w))  # stable: what was seen first, then rows in document order
             again = (w[order[1:]] == w[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+            head = order[np.maximum.accumulate(np.where(np.r_[True, ~again], np.arange(len(w)), 0))]
             repeat = np.zeros(len(w), bool)
-            repeat[order[1:][again]] = True
-            repeat = repeat[len(seen) :]
-            new = (anchor[sel][owner] == anchor[-1]) & ~repeat
+            # The place itself, where a key occurs twice, is not an earlier one.
+            repeat[order] = (d_all[order] != d_all[head]) | (p_all[order] != p_all[head])
+            fresh = np.zeros(len(w), bool)
+            fresh[order[np.r_[True, ~again]]] = True
+            n = len(seen[0])
+            repeat, fresh = repeat[n:], fresh[n:]
+            new = (anchor[sel][owner] == anchor[-1]) & fresh
             if not (carried and anchor[-1] == last):
-                seen, seen_chk = seen[:0], seen_chk[:0]
-            seen, seen_chk = np.append(seen, window[new]), np.append(seen_chk, chk[new])
+                seen = [x[:0] for x in seen]
+            seen = [np.append(x, y[new]) for x, y in zip(seen, (window, chk, d, place))]
             last = anchor[-1]
             d, place = d[repeat], place[repeat]
             if len(d):
@@ -282,9 +289,12 @@ def reference_shards(docs: DataFrame, length: int, words: int = 60_000, docs_a_s
     return [(taken, length)] if taken else []
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", hashed: bool = False
+) -> DataFrame:
     """``key, n_words, n_removed, kept``: the words of every text that no removed window
-    covers, joined by single blanks.
+    covers, joined by single blanks; if ``hashed``, also ``text_hash``, the text's
+    ``xxhash64``, which tells rows of one key apart.
 
     A null text has no words; texts shorter than a window, rows without a key and all
     texts of an empty table lose nothing. Rows that share a key are one document to the
@@ -293,8 +303,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text:
     named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = named.where("doc IS NOT NULL AND text IS NOT NULL")
     removed = repeated_windows(window_rows(rows, reference_shards(rows, length), length))
-    whole = named.select("doc", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("starts"))
-    spans = removed.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "starts")
+    of_text = F.xxhash64("text").alias("text_hash")
+    whole = named.select("doc", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("starts"), of_text)
+    none = F.lit(None).cast("long").alias("text_hash")
+    spans = removed.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "starts", none)
     both = whole.where("doc IS NOT NULL").unionByName(spans)
     ordered = both.repartition("doc").sortWithinPartitions("doc", "kind")
     nameless = whole.where("doc IS NULL")
@@ -303,8 +315,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text:
         current, starts = None, []
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
-                out: dict[str, list] = {"key": [], "n_words": [], "n_removed": [], "kept": []}
-                for doc, kind, t, s in zip(*columns(batch.slice(begin, 2000))):
+                out: dict[str, list] = {"key": [], "n_words": [], "n_removed": [], "kept": [], "text_hash": []}
+                for doc, kind, t, s, text_hash in zip(*columns(batch.slice(begin, 2000))):
                     if doc is None or doc != current:
                         current, starts = doc, []
                     if not kind:
@@ -321,10 +333,12 @@ def remove_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text:
                         keep = np.cumsum(gone[:n]) == 0
                         words = [w for w, k in zip(words, keep.tolist()) if k]
                     out["key"].append(doc)
+                    out["text_hash"].append(text_hash)
                     out["n_words"].append(n)
                     out["n_removed"].append(n - len(words))
                     out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield out
 
-    ddl = "key long, n_words long, n_removed long, kept string"
-    return map_batches(ordered, ddl, run).unionByName(map_batches(nameless, ddl, run)).withColumnRenamed("key", key)
+    ddl = "key long, n_words long, n_removed long, kept string, text_hash long"
+    out = map_batches(ordered, ddl, run).unionByName(map_batches(nameless, ddl, run)).withColumnRenamed("key", key)
+    return out if hashed else out.drop("text_hash")
