@@ -18,43 +18,53 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter go (``und``); the others get the language
-    found in their text where none is given."""
-    filters = language_id.learn(docs)
-    found = language_id.predict(docs, filters).where(F.col("lang_pred") != language_id.NO_LETTER)
+    """Language ID: documents without a letter, null and empty texts among them, go
+    (``und``); the others get the language found in their text where none is given. Rows
+    are judged one by one, also those that share an id or have none."""
+    found = language_id.predict(docs, language_id.learn(docs), keep=COLUMNS[1:])
     return (
-        docs.join(found.select("doc_id", "lang_pred"), "doc_id")
+        found.where(F.col("lang_pred") != language_id.NO_LETTER)
         .withColumn("lang", F.coalesce("lang", "lang_pred"))
         .select(COLUMNS)
     )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near copies the first document stays."""
+    """N-gram Jaccard join: of each group of near copies the document with the smallest id
+    stays. Rows that share an id are one document to the groups and stay or go together;
+    rows without an id go."""
     kept = ngram_join.similarity_classes(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages of 20 words or more that stand earlier are cut out.
-    Texts that lose nothing stay as they are; documents that lose all their words go."""
-    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept", "n_words", "n_removed")
-    text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
+    Texts that lose nothing stay as they are; documents that lose all their words go.
+    Rows that share an id are told apart by their texts, so none is multiplied."""
+    cut = (
+        substring_dedup.remove_repeats(docs, hashed=True)
+        .where("n_removed > 0")
+        .select("doc_id", "text_hash", "kept", "n_words", "n_removed")
+        .dropDuplicates(["doc_id", "text_hash"])
+    )
+    lost = F.col("kept").isNotNull()
     return (
-        docs.join(cut, "doc_id", "left")
+        docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+        .join(cut, ["doc_id", "text_hash"], "left")
         .where("kept IS NULL OR n_removed < n_words")
-        .withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-        .withColumn("text", text)
+        .withColumn("n_chars", F.when(lost, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
+        .withColumn("text", F.when(lost, F.col("kept")).otherwise(F.col("text")))
         .select(COLUMNS)
     )
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents stay whole and stand so often that the words of every source
-    come near its target; documents that are not taken go."""
-    mixed = mixing.whole_documents(docs).where("times > 0").select("doc_id", "times")
+    come near its target; documents that are not taken go. Rows that share an id stand
+    as often as the one of them that stands most often."""
+    times = mixing.whole_documents(docs).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
     return (
-        docs.join(mixed, "doc_id")
+        docs.select(COLUMNS).join(times, "doc_id")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
         .select(COLUMNS)
     )
