@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from hazeline.llm.common import WordHashes, columns, map_batches, mix64, ngram_h
 
 ANCHOR = 5
 BYTES = 9  # of a window's two hashes beside its anchor's
-HEAD = 13  # bytes before them: a mark, the document, the start of the first window
+HEAD = 21  # bytes before them: anchor, a mark, the document, the start of the first window
 SECOND = np.uint64(0xD1B54A32D192ED03)  # for the second hash words are mixed with this
 
 
@@ -134,9 +135,9 @@ def window_anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
-    """``anchor, data``: windows that share an anchor and lie side by side, as the hash
-    bytes of each; or starts that are settled. In front stand a mark (0: settled), the
-    document and the first start, in an order that bytes sort by. A window that a batch
+    """``data``: windows that share an anchor and lie side by side, as the hash bytes of
+    each; or starts that are settled. In front stand the anchor, a mark (0: settled), the
+    document and the first start, so that rows sort by their bytes. A window that a batch
     holds twice is settled but for its first place."""
 
     def run(batches):
@@ -178,37 +179,34 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
                         new = np.r_[True, (anc[1:] != anc[:-1]) | (doc_[1:] != doc_[:-1]) | (np.diff(place) != 1)]
                         at = np.flatnonzero(new)
                         raw = np.hstack([win.view(np.uint8).reshape(-1, 8), chk.reshape(-1, 1)]).tobytes()
-                        front = heads(1, doc_[at], place[at])
+                        front = heads(anc[at], 1, doc_[at], place[at])
                         ends = np.append(at[1:], len(win)).tolist()
-                        yield {
-                            "anchor": anc[at].view(np.int64),
-                            "data": [h + raw[BYTES * a : BYTES * b] for h, a, b in zip(front, at.tolist(), ends)],
-                        }
+                        yield {"data": [h + raw[BYTES * a : BYTES * b] for h, a, b in zip(front, at.tolist(), ends)]}
                 if done:
-                    front = heads(0, np.array([d for d, _ in done], np.int64), np.zeros(len(done), np.int64))
-                    yield {
-                        "anchor": mix64(np.arange(len(done))).view(np.int64),
-                        "data": [h + s.astype("<u4").tobytes() for h, (_, s) in zip(front, done)],
-                    }
+                    anywhere = mix64(np.arange(len(done)))
+                    front = heads(anywhere, 0, np.array([d for d, _ in done], np.int64), np.zeros(len(done), np.int64))
+                    yield {"data": [h + s.astype("<u4").tobytes() for h, (_, s) in zip(front, done)]}
 
-    return map_batches(docs, "anchor long, data binary", run)
+    return map_batches(docs, "data binary", run)
 
 
-def heads(mark: int, doc: np.ndarray, start: np.ndarray) -> list[bytes]:
+def heads(anchor: np.ndarray, mark: int, doc: np.ndarray, start: np.ndarray) -> list[bytes]:
     rows = np.empty((len(doc), HEAD), np.uint8)
-    rows[:, 0] = mark
-    rows[:, 1:9] = (doc.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    rows[:, 9:] = start.astype(">u4").view(np.uint8).reshape(-1, 4)
+    rows[:, :8] = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)
+    rows[:, 8] = mark
+    rows[:, 9:17] = (doc.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    rows[:, 17:] = start.astype(">u4").view(np.uint8).reshape(-1, 4)
     raw = rows.tobytes()
     return [raw[k : k + HEAD] for k in range(0, len(raw), HEAD)]
 
 
-def heads_read(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks, documents and starts of rows."""
+def heads_read(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, marks, documents and starts of rows."""
     rows = np.frombuffer(b"".join([d[:HEAD] for d in data]), np.uint8).reshape(-1, HEAD)
-    doc = np.ascontiguousarray(rows[:, 1:9]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
-    start = np.ascontiguousarray(rows[:, 9:]).view(">u4").ravel().astype(np.int64)
-    return rows[:, 0], doc.view(np.int64), start
+    anchor = np.ascontiguousarray(rows[:, :8]).view("<u8").ravel()
+    doc = np.ascontiguousarray(rows[:, 9:17]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+    start = np.ascontiguousarray(rows[:, 17:]).view(">u4").ravel().astype(np.int64)
+    return anchor, rows[:, 8], doc.view(np.int64), start
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -221,9 +219,8 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         # Of the anchor that goes on: windows seen, and where each was first.
         seen = [np.empty(0, kind) for kind in (np.uint64, np.uint8, np.int64, np.int64)]
         for batch in batches:
-            anchor = batch.column(0).to_numpy().view(np.uint64)
-            data = batch.column(1).to_pylist()
-            mark, doc, start = heads_read(data)
+            data = batch.column(0).to_pylist()
+            anchor, mark, doc, start = heads_read(data)
             if len(settled := np.flatnonzero(mark == 0)):
                 yield {"doc": doc[settled], "starts": [data[k][HEAD:] for k in settled.tolist()]}
             rows_ = np.flatnonzero(mark)
@@ -272,7 +269,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
                 ends = np.append(at[1:], len(d)).tolist()
                 yield {"doc": d[at], "starts": [raw4[4 * a : 4 * b] for a, b in zip(at.tolist(), ends)]}
 
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "data")
+    ordered = rows.repartition(F.substring("data", 1, 8)).sortWithinPartitions("data")
     return map_batches(ordered, "doc long, starts binary", run)
 
 
@@ -289,6 +286,14 @@ def reference_shards(docs: DataFrame, length: int, words: int = 60_000, docs_a_s
     return [(taken, length)] if taken else []
 
 
+def spark_hash(text: str | None) -> int:
+    """``xxhash64`` of a text as Spark has it: seed 42, signed, and 42 for a null."""
+    if text is None:
+        return 42
+    value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def remove_repeats(
     docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", hashed: bool = False
 ) -> DataFrame:
@@ -303,10 +308,8 @@ def remove_repeats(
     named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = named.where("doc IS NOT NULL AND text IS NOT NULL")
     removed = repeated_windows(window_rows(rows, reference_shards(rows, length), length))
-    of_text = F.xxhash64("text").alias("text_hash")
-    whole = named.select("doc", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("starts"), of_text)
-    none = F.lit(None).cast("long").alias("text_hash")
-    spans = removed.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "starts", none)
+    whole = named.select("doc", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("starts"))
+    spans = removed.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "starts")
     both = whole.where("doc IS NOT NULL").unionByName(spans)
     ordered = both.repartition("doc").sortWithinPartitions("doc", "kind")
     nameless = whole.where("doc IS NULL")
@@ -316,7 +319,7 @@ def remove_repeats(
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 out: dict[str, list] = {"key": [], "n_words": [], "n_removed": [], "kept": [], "text_hash": []}
-                for doc, kind, t, s, text_hash in zip(*columns(batch.slice(begin, 2000))):
+                for doc, kind, t, s in zip(*columns(batch.slice(begin, 2000))):
                     if doc is None or doc != current:
                         current, starts = doc, []
                     if not kind:
@@ -333,7 +336,7 @@ def remove_repeats(
                         keep = np.cumsum(gone[:n]) == 0
                         words = [w for w, k in zip(words, keep.tolist()) if k]
                     out["key"].append(doc)
-                    out["text_hash"].append(text_hash)
+                    out["text_hash"].append(spark_hash(t) if hashed else None)
                     out["n_words"].append(n)
                     out["n_removed"].append(n - len(words))
                     out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
