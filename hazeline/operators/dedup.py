@@ -3,7 +3,8 @@
 Both forms are a grouped ``max`` over a struct whose leading fields are the
 ordering. That equals ``row_number() = 1`` over the same fields descending with
 nulls last, but it is combined on the map side: a key that holds a third of all
-rows leaves each task as one row, and no group is ever sorted in one task.
+rows leaves each task as one row. A struct has no fixed width, so Spark sorts the rows
+of a task by key to group them; no group is sorted by its values.
 """
 
 from __future__ import annotations

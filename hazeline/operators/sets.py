@@ -18,4 +18,3 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 
 
 union_bronze = union_sources
-union_periods = union_sources

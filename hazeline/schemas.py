@@ -13,6 +13,7 @@ READING_KEYS = ["date", "country", "city", "specie"]
 METRICS = ["min", "max", "median", "variance", "count"]
 AUDIT_COLUMNS = ["_ingest_ts", "_source_file", "_source_format"]
 
+# Columns of a reading, as landed and with audit columns.
 READING_DATA = T.StructType(
     [
         T.StructField("date", T.StringType()),
