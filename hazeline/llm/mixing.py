@@ -160,7 +160,9 @@ def taken_words(rows: DataFrame, share: float, weights: Sequence[float], most: i
         seeded place on, and each step gives the run at its head."""
         cut = f"(phase + step * floor(({x} - phase) / step))"
         low, high = f"greatest({cut}, 0)", f"least({cut} + step, length)"
-        due = lambda y: f"({y} * more div greatest(length, 1))"
+        # Products of two lengths need more than 64 bits.
+        wide = lambda y: f"cast({y} as decimal(19, 0))"
+        due = lambda y: f"({wide(y)} * {wide('more')} div {wide('greatest(length, 1)')})"
         return F.expr(f"{x} * times + {due(low)} + least({x} - {low}, {due(high)} - {due(low)})")
 
     return (
@@ -205,7 +207,7 @@ def whole_documents(
     before = Window.partitionBy("source_no").orderBy("step", "shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = (  # one row a shard and size class
         rows.groupBy("source_no", "step", "shard")
-        .agg(F.sum("part").alias("parts"))
+        .agg(F.pmod(F.sum("part"), F.lit(unit)).alias("parts"))  # whole numbers make no difference
         .withColumn("start", F.coalesce(F.sum("parts").over(before), F.lit(0)) + F.pmod(F.xxhash64("source_no", F.lit(seed + 3)), F.lit(unit)))
         .select("source_no", "step", "shard", "start")
     )

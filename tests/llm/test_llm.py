@@ -428,6 +428,16 @@ def test_mixing_takes_tiny_sources_to_the_word(spark, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 1 for s in target) and len(target) == 4
 
 
+def test_mixing_of_more_words_than_products_of_64_bits_allow(spark):
+    """Shards of 10^11 words, whose squares are far beyond 64 bits."""
+    rows = [(k, "ab"[k % 2], 5_000_000_000 + k) for k in range(40)]
+    frame = spark.createDataFrame(rows, "key long, source string, size long")
+    got = mixing.taken_words(frame, 1.5, (3, 1, 2), 2, 1, 17).collect()
+    for no in (0, 1):
+        mine = [r for r in got if r.source_no == no]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1 and all(0 <= r.taken <= 2 * r.size for r in mine)
+
+
 @pytest.mark.parametrize("n", [60, 3000])
 def test_license_scan_weighs_ordinary_words_by_their_files(spark, n):
     """Words that no template holds, in every file, around a statement."""
