@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from hazeline import schemas as S
 from hazeline.functions.text import strict_iso_date
-from hazeline.sources.sinks import staged
+from hazeline.sources.sinks import staged, staging
 
 #: Column by which loaded rows are laid out, and its value where there is no date.
 MONTH = "month"
@@ -53,7 +53,9 @@ def _months(batch: DataFrame, within: str) -> DataFrame:
     return batch.select(month_of(within).alias(MONTH)).filter(F.col(MONTH) > "").distinct()
 
 
-def _only_new(batch: DataFrame, target: DataFrame, keys: Sequence[str], within: str) -> DataFrame:
+def unseen(
+    batch: DataFrame, target: DataFrame, keys: Sequence[str] = S.READING_KEYS, within: str = "date"
+) -> DataFrame:
     """As ``only_new``, for a batch that is cheap to read more than once."""
     if MONTH not in target.columns:
         span = batch.agg(F.struct(F.min(within).alias("first"), F.max(within).alias("last"))).scalar()
@@ -71,7 +73,7 @@ def only_new(
     shuffled: a target laid out by ``MONTH`` is only read there, so one late row costs its
     month and no more; of any other the date range still reaches the scan. A key stored
     many times costs one row. Gate the batch on its keys first: a NULL key is always new."""
-    return _only_new(staged(batch, "batch"), target, keys, within)
+    return unseen(staged(batch, "batch"), target, keys, within)
 
 
 def write_months(df: DataFrame, path: str, within: str = "date", mode: str = "append") -> None:
@@ -93,9 +95,9 @@ def load_batch(
     """Append the new rows of a batch to a Parquet folder laid out by month; the first
     load makes it. The batch is evaluated once and only its months of the folder are
     read. Running it again, also after a failure, writes nothing more."""
-    batch = staged(batch, "batch")
-    target = read_months(batch.sparkSession, path, batch.schema)
-    write_months(_only_new(batch, target, keys, within), path, within)
+    with staging(batch, "batch") as rows:
+        target = read_months(batch.sparkSession, path, batch.schema)
+        write_months(unseen(rows, target, keys, within), path, within)
 
 
 def append_new(
@@ -103,12 +105,13 @@ def append_new(
 ) -> None:
     """Append the new rows to a catalog table, which is made, laid out by month, if it is
     not there. Running it again writes nothing more."""
-    spark, batch = batch.sparkSession, staged(batch, "batch")
+    spark = batch.sparkSession
     if not spark.catalog.tableExists(table):
         empty = spark.createDataFrame([], batch.schema).withColumn(MONTH, F.lit(NO_MONTH))
         empty.write.partitionBy(MONTH).format("parquet").saveAsTable(table)
     target = spark.read.table(table)
-    fresh = _only_new(batch, target, keys, within)
-    if MONTH in target.columns:
-        fresh = fresh.withColumn(MONTH, month_of(within)).hint("rebalance", MONTH)
-    fresh.select(*target.columns).write.insertInto(table)
+    with staging(batch, "batch") as rows:
+        fresh = unseen(rows, target, keys, within)
+        if MONTH in target.columns:
+            fresh = fresh.withColumn(MONTH, month_of(within)).hint("rebalance", MONTH)
+        fresh.select(*target.columns).write.insertInto(table)

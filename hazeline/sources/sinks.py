@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As ``staged``, for work that ends within the block: the files go with it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ensure_layers(spark: SparkSession, names: Sequence[str] = tuple(LAYERS)) -> None:
     for name in names:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")

@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hazeline import schemas as S
 from hazeline.operators.dedup import dedup_latest
-from hazeline.operators.incremental import MONTH, load_batch, only_new, write_months
+from hazeline.operators.incremental import MONTH, load_batch, unseen, write_months
 from hazeline.operators.quality import FEED_GATES, expect_or_drop
-from hazeline.sources.sinks import staged
+from hazeline.sources.sinks import staging
 
 
 def landed_stream(
@@ -98,14 +98,14 @@ def batch_writer(
     run again replaces what its first run left."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, batch = batch.sparkSession, staged(batch, "micro-batch")
-        firsts = batch.filter(FIRST).select(*keys, FIRST)
-        rows = reduce(batch.filter(f"NOT {FIRST}").drop(FIRST)).join(firsts, list(keys), "left")
-        rows = staged(rows, "reduced")
-        others = rows.filter(F.col(FIRST).isNull()).drop(FIRST)
-        earlier = loaded(spark, out, others.schema).filter(F.col(BATCH) < number)
-        fresh = rows.filter(FIRST).drop(FIRST).unionByName(only_new(others, earlier, keys))
-        write_months(fresh, f"{out}/{BATCH}={number}", mode="overwrite")
+        with staging(batch, "micro-batch") as marked:
+            firsts = marked.filter(FIRST).select(*keys, FIRST)
+            best = reduce(marked.filter(f"NOT {FIRST}").drop(FIRST)).join(firsts, list(keys), "left")
+            with staging(best, "reduced") as rows:
+                others = rows.filter(F.col(FIRST).isNull()).drop(FIRST)
+                earlier = loaded(batch.sparkSession, out, others.schema).filter(F.col(BATCH) < number)
+                fresh = rows.filter(FIRST).drop(FIRST).unionByName(unseen(others, earlier, keys))
+                write_months(fresh, f"{out}/{BATCH}={number}", mode="overwrite")
 
     return write
 

@@ -1,6 +1,7 @@
 """Loads into a target laid out by month, batch-wise and as a stream with state."""
 
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from hazeline import schemas as S
 from hazeline.operators import incremental
 from hazeline.operators.dedup import dedup_best
+from hazeline.sources import sinks
 from hazeline.sources.sinks import staged
 from hazeline.streaming import ingest
 
@@ -51,7 +53,7 @@ def test_load_reads_only_the_months_of_the_batch(spark, tmp_path):
     days = [START + timedelta(days=k) for k in (1195, 1199, 1200, 1203)] + [START - timedelta(days=1), START]
     batch = staged(readings(spark, days), "batch")
     target = incremental.read_months(spark, out, batch.schema)
-    fresh = incremental._only_new(batch, target, S.READING_KEYS, "date")
+    fresh = incremental.unseen(batch, target, S.READING_KEYS, "date")
     assert sorted(r.date for r in fresh.collect()) == sorted([days[2], days[3], days[4]])
     read = partitions_read(fresh, "target")
     months = {(d.year, d.month) for d in days}
@@ -76,6 +78,15 @@ def test_batch_is_evaluated_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 50
 
 
+def test_staged_batches_are_removed(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(sinks, "scratch_path", lambda s, label: made.append(str(tmp_path / f"{label}-{len(made)}")) or made[-1])
+    incremental.load_batch(readings(spark, [START]), str(tmp_path / "t"))
+    with pytest.raises(ZeroDivisionError), sinks.staging(readings(spark, [START]), "x"):
+        raise ZeroDivisionError
+    assert len(made) == 2 and not any(Path(p).exists() for p in made)
+
+
 def test_unreadable_dates_have_a_month_of_their_own(spark, tmp_path):
     out = str(tmp_path / "t")
     batch = spark.createDataFrame([("Unknown", "NG", "a", "co"), ("2021-02-03", "NG", "a", "co")], "date string, country string, city string, specie string")
