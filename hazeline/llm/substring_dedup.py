@@ -10,9 +10,9 @@ anchor that a shard holds on, matching statistics give for every window the earl
 place of its words in the shard, and settle it when that lies before. What no shard
 settles is grouped by anchor: one row for the windows that share an anchor, with two
 window hashes, is sent to where all windows of that anchor meet, in document order. Two
-windows count as equal when the anchor's 64 bits and the 64 and 8 of the hashes are: among
-a million different windows of one anchor, a false equality has odds of one to some ten
-thousand million. Maximal spans of removed windows are cut out at last."""
+windows count as equal when 40 bits of their anchor and the 64 and 8 of the hashes are:
+among a million different windows of one anchor, a false equality has odds of one to some
+ten thousand million. Maximal spans of removed windows are cut out at last."""
 
 from __future__ import annotations
 
@@ -27,7 +27,9 @@ from hazeline.llm.common import WordHashes, columns, map_batches, mix64, ngram_h
 
 ANCHOR = 5
 BYTES = 9  # of a window's two hashes beside its anchor's
-HEAD = 21  # bytes before them: anchor, a mark, the document, the start of the first window
+HEAD = 17  # bytes before them: of the anchor, the document, a mark and the first start
+KEY = 5  # bytes of the anchor
+MARK = 1 << 31  # of windows, beside the start; settled starts have none
 SECOND = np.uint64(0xD1B54A32D192ED03)  # for the second hash words are mixed with this
 
 
@@ -136,9 +138,9 @@ def window_anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
     """``data``: windows that share an anchor and lie side by side, as the hash bytes of
-    each; or starts that are settled. In front stand the anchor, a mark (0: settled), the
-    document and the first start, so that rows sort by their bytes. A window that a batch
-    holds twice is settled but for its first place."""
+    each; or starts that are settled. In front stand the anchor, the document, a mark that
+    tells them apart and the first start, so that rows sort by their bytes. A window that
+    a batch holds twice is settled but for its first place."""
 
     def run(batches):
         hashes = WordHashes()
@@ -179,34 +181,34 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
                         new = np.r_[True, (anc[1:] != anc[:-1]) | (doc_[1:] != doc_[:-1]) | (np.diff(place) != 1)]
                         at = np.flatnonzero(new)
                         raw = np.hstack([win.view(np.uint8).reshape(-1, 8), chk.reshape(-1, 1)]).tobytes()
-                        front = heads(anc[at], 1, doc_[at], place[at])
+                        front = heads(anc[at], doc_[at], place[at] + MARK)
                         ends = np.append(at[1:], len(win)).tolist()
                         yield {"data": [h + raw[BYTES * a : BYTES * b] for h, a, b in zip(front, at.tolist(), ends)]}
                 if done:
                     anywhere = mix64(np.arange(len(done)))
-                    front = heads(anywhere, 0, np.array([d for d, _ in done], np.int64), np.zeros(len(done), np.int64))
+                    front = heads(anywhere, np.array([d for d, _ in done], np.int64), np.zeros(len(done), np.int64))
                     yield {"data": [h + s.astype("<u4").tobytes() for h, (_, s) in zip(front, done)]}
 
     return map_batches(docs, "data binary", run)
 
 
-def heads(anchor: np.ndarray, mark: int, doc: np.ndarray, start: np.ndarray) -> list[bytes]:
+def heads(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[bytes]:
     rows = np.empty((len(doc), HEAD), np.uint8)
-    rows[:, :8] = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)
-    rows[:, 8] = mark
-    rows[:, 9:17] = (doc.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    rows[:, 17:] = start.astype(">u4").view(np.uint8).reshape(-1, 4)
+    rows[:, :KEY] = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
+    rows[:, KEY : KEY + 8] = (doc.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    rows[:, KEY + 8 :] = start.astype(">u4").view(np.uint8).reshape(-1, 4)
     raw = rows.tobytes()
     return [raw[k : k + HEAD] for k in range(0, len(raw), HEAD)]
 
 
 def heads_read(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, marks, documents and starts of rows."""
+    """Anchors, whether rows hold windows, documents and starts."""
     rows = np.frombuffer(b"".join([d[:HEAD] for d in data]), np.uint8).reshape(-1, HEAD)
-    anchor = np.ascontiguousarray(rows[:, :8]).view("<u8").ravel()
-    doc = np.ascontiguousarray(rows[:, 9:17]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
-    start = np.ascontiguousarray(rows[:, 17:]).view(">u4").ravel().astype(np.int64)
-    return anchor, rows[:, 8], doc.view(np.int64), start
+    anchor = np.zeros((len(rows), 8), np.uint8)
+    anchor[:, :KEY] = rows[:, :KEY]
+    doc = np.ascontiguousarray(rows[:, KEY : KEY + 8]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+    start = np.ascontiguousarray(rows[:, KEY + 8 :]).view(">u4").ravel().astype(np.int64)
+    return anchor.view("<u8").ravel(), start >= MARK, doc.view(np.int64), start & (MARK - 1)
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -221,7 +223,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             data = batch.column(0).to_pylist()
             anchor, mark, doc, start = heads_read(data)
-            if len(settled := np.flatnonzero(mark == 0)):
+            if len(settled := np.flatnonzero(~mark)):
                 yield {"doc": doc[settled], "starts": [data[k][HEAD:] for k in settled.tolist()]}
             rows_ = np.flatnonzero(mark)
             if not len(rows_):
@@ -269,7 +271,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
                 ends = np.append(at[1:], len(d)).tolist()
                 yield {"doc": d[at], "starts": [raw4[4 * a : 4 * b] for a, b in zip(at.tolist(), ends)]}
 
-    ordered = rows.repartition(F.substring("data", 1, 8)).sortWithinPartitions("data")
+    ordered = rows.repartition(F.substring("data", 1, KEY)).sortWithinPartitions("data")
     return map_batches(ordered, "doc long, starts binary", run)
 
 
@@ -308,10 +310,10 @@ def remove_repeats(
     named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = named.where("doc IS NOT NULL AND text IS NOT NULL")
     removed = repeated_windows(window_rows(rows, reference_shards(rows, length), length))
-    whole = named.select("doc", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("starts"))
-    spans = removed.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "starts")
+    whole = named.select("doc", "text", F.lit(None).cast("binary").alias("starts"))
+    spans = removed.select("doc", F.lit(None).cast("string").alias("text"), "starts")
     both = whole.where("doc IS NOT NULL").unionByName(spans)
-    ordered = both.repartition("doc").sortWithinPartitions("doc", "kind")
+    ordered = both.repartition("doc").sortWithinPartitions("doc", F.col("starts").isNull())
     nameless = whole.where("doc IS NULL")
 
     def run(batches):
@@ -319,10 +321,10 @@ def remove_repeats(
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 out: dict[str, list] = {"key": [], "n_words": [], "n_removed": [], "kept": [], "text_hash": []}
-                for doc, kind, t, s in zip(*columns(batch.slice(begin, 2000))):
+                for doc, t, s in zip(*columns(batch.slice(begin, 2000))):
                     if doc is None or doc != current:
                         current, starts = doc, []
-                    if not kind:
+                    if s is not None:
                         starts.append(np.frombuffer(s, "<u4"))
                         continue
                     words = words_of(t or "")
