@@ -16,10 +16,9 @@ ten thousand million. Maximal spans of removed windows are cut out at last."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -288,40 +287,37 @@ def reference_shards(docs: DataFrame, length: int, words: int = 60_000, docs_a_s
     return [(taken, length)] if taken else []
 
 
-def spark_hash(text: str | None) -> int:
-    """``xxhash64`` of a text as Spark has it: seed 42, signed, and 42 for a null."""
-    if text is None:
-        return 42
-    value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
-    return value - (1 << 64) if value >> 63 else value
-
-
 def remove_repeats(
-    docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", hashed: bool = False
+    docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``key, n_words, n_removed, kept``: the words of every text that no removed window
-    covers, joined by single blanks; if ``hashed``, also ``text_hash``, the text's
-    ``xxhash64``, which tells rows of one key apart.
+    """``key, n_words, n_removed, kept`` and the columns to ``keep`` (texts and whole
+    numbers): the words of every text that no removed window covers, joined by single
+    blanks.
 
     A null text has no words; texts shorter than a window, rows without a key and all
     texts of an empty table lose nothing. Rows that share a key are one document to the
     order: a window in both at the same place has no earlier one, and what is removed is
     removed in both. Other columns do not matter. Windows are judged on the input."""
-    named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = named.where("doc IS NOT NULL AND text IS NOT NULL")
+    kinds = dict(docs.dtypes)
+    kept = [(f"_kept_{c}", kinds[c].replace("bigint", "long")) for c in keep]
+    carried = [F.col(c).alias(name) for c, (name, _) in zip(keep, kept)]
+    named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *carried)
+    rows = named.select("doc", "text").where("doc IS NOT NULL AND text IS NOT NULL")
     removed = repeated_windows(window_rows(rows, reference_shards(rows, length), length))
-    whole = named.select("doc", "text", F.lit(None).cast("binary").alias("starts"))
+    whole = named.withColumn("starts", F.lit(None).cast("binary"))
     spans = removed.select("doc", F.lit(None).cast("string").alias("text"), "starts")
-    both = whole.where("doc IS NOT NULL").unionByName(spans)
+    both = whole.where("doc IS NOT NULL").unionByName(spans, allowMissingColumns=True)
+    both = both.select("doc", "text", "starts", *[name for name, _ in kept])
     ordered = both.repartition("doc").sortWithinPartitions("doc", F.col("starts").isNull())
-    nameless = whole.where("doc IS NULL")
+    nameless = whole.select(*both.columns).where("doc IS NULL")
 
     def run(batches):
         current, starts = None, []
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
-                out: dict[str, list] = {"key": [], "n_words": [], "n_removed": [], "kept": [], "text_hash": []}
-                for doc, t, s in zip(*columns(batch.slice(begin, 2000))):
+                out: dict[str, list] = {"key": [], "n_words": [], "n_removed": [], "kept": []}
+                out |= {name: [] for name, _ in kept}
+                for doc, t, s, *others in zip(*columns(batch.slice(begin, 2000))):
                     if doc is None or doc != current:
                         current, starts = doc, []
                     if s is not None:
@@ -338,12 +334,15 @@ def remove_repeats(
                         keep = np.cumsum(gone[:n]) == 0
                         words = [w for w, k in zip(words, keep.tolist()) if k]
                     out["key"].append(doc)
-                    out["text_hash"].append(spark_hash(t) if hashed else None)
+                    for (name, _), value in zip(kept, others):
+                        out[name].append(value)
                     out["n_words"].append(n)
                     out["n_removed"].append(n - len(words))
                     out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield out
 
-    ddl = "key long, n_words long, n_removed long, kept string, text_hash long"
-    out = map_batches(ordered, ddl, run).unionByName(map_batches(nameless, ddl, run)).withColumnRenamed("key", key)
-    return out if hashed else out.drop("text_hash")
+    ddl = ", ".join(["key long, n_words long, n_removed long, kept string", *(f"{name} {kind}" for name, kind in kept)])
+    out = map_batches(ordered, ddl, run).unionByName(map_batches(nameless, ddl, run))
+    return out.select(
+        F.col("key").alias(key), "n_words", "n_removed", "kept", *[F.col(name).alias(c) for c, (name, _) in zip(keep, kept)]
+    )
