@@ -40,18 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages of 20 words or more that stand earlier are cut out.
     Texts that lose nothing stay as they are; documents that lose all their words go.
-    Rows that share an id are told apart by their texts, so none is multiplied."""
-    cut = (
-        substring_dedup.remove_repeats(docs, hashed=True)
-        .where("n_removed > 0")
-        .select("doc_id", "text_hash", "kept", "n_words", "n_removed")
-        .dropDuplicates(["doc_id", "text_hash"])
-    )
-    lost = F.col("kept").isNotNull()
+    Rows that share an id, or have none, are cut one by one."""
+    cut = substring_dedup.remove_repeats(docs, keep=COLUMNS[1:])
+    lost = F.col("n_removed") > 0
     return (
-        docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
-        .join(cut, ["doc_id", "text_hash"], "left")
-        .where("kept IS NULL OR n_removed < n_words")
+        cut.where("n_removed = 0 OR n_removed < n_words")
         .withColumn("n_chars", F.when(lost, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
         .withColumn("text", F.when(lost, F.col("kept")).otherwise(F.col("text")))
         .select(COLUMNS)
