@@ -28,6 +28,7 @@ ANCHOR = 5
 BYTES = 9  # of a window's two hashes beside its anchor's
 HEAD = 17  # bytes before them: of the anchor, the document, a mark and the first start
 KEY = 5  # bytes of the anchor
+HELD = 1 << 20  # starts that a task holds before it sends them on, a row a document
 MARK = 1 << 31  # of windows, beside the start; settled starts have none
 SECOND = np.uint64(0xD1B54A32D192ED03)  # for the second hash words are mixed with this
 
@@ -210,20 +211,31 @@ def heads_read(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return anchor.view("<u8").ravel(), start >= MARK, doc.view(np.int64), start & (MARK - 1)
 
 
+def by_document(found: list[tuple[np.ndarray, np.ndarray]]) -> dict:
+    """Documents and starts, a row a document."""
+    doc, start = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+    raw, ends = start.astype("<u4").tobytes(), np.append(at[1:], len(doc)).tolist()
+    return {"doc": doc[at], "starts": [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), ends)]}
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """``doc, starts binary`` of windows that have an earlier equal one. All rows of an
     anchor meet in one partition in document order and are streamed; of an anchor that
     goes on in the next batch only the window hashes seen are carried."""
 
     def run(batches):
-        last = None
+        last, found = None, []
         # Of the anchor that goes on: windows seen, and where each was first.
         seen = [np.empty(0, kind) for kind in (np.uint64, np.uint8, np.int64, np.int64)]
         for batch in batches:
             data = batch.column(0).to_pylist()
             anchor, mark, doc, start = heads_read(data)
-            if len(settled := np.flatnonzero(~mark)):
-                yield {"doc": doc[settled], "starts": [data[k][HEAD:] for k in settled.tolist()]}
+            for k in np.flatnonzero(~mark).tolist():
+                at = np.frombuffer(data[k][HEAD:], "<u4").astype(np.int64)
+                found.append((np.full(len(at), doc[k]), at))
             rows_ = np.flatnonzero(mark)
             if not len(rows_):
                 continue
@@ -261,14 +273,12 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
                 seen = [x[:0] for x in seen]
             seen = [np.append(x, y[new]) for x, y in zip(seen, (window, chk, d, place))]
             last = anchor[-1]
-            d, place = d[repeat], place[repeat]
-            if len(d):
-                order = np.lexsort((place, d))
-                d, place = d[order], place[order]
-                at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                raw4 = place.astype("<u4").tobytes()
-                ends = np.append(at[1:], len(d)).tolist()
-                yield {"doc": d[at], "starts": [raw4[4 * a : 4 * b] for a, b in zip(at.tolist(), ends)]}
+            found.append((d[repeat], place[repeat]))
+            if sum(len(x) for x, _ in found) > HELD:
+                yield by_document(found)
+                found = []
+        if found:
+            yield by_document(found)
 
     ordered = rows.repartition(F.substring("data", 1, KEY)).sortWithinPartitions("data")
     return map_batches(ordered, "doc long, starts binary", run)
