@@ -156,6 +156,13 @@ def read_csv_preamble(
     return reduce(DataFrame.unionByName, parts)
 
 
+def source_name(path: Column) -> Column:
+    """Last part of a path, without ``.csv``. Plain cuts: a pattern up to the end of the path
+    would be tried at every character of it, row by row."""
+    last = F.substring_index(path, "/", -1)
+    return F.when(last.endswith(".csv") & (F.length(last) > 4), F.left(last, F.length(last) - 4)).otherwise(last)
+
+
 def csv_preamble_to_parquet(
     spark: SparkSession,
     in_glob: str,
@@ -165,9 +172,8 @@ def csv_preamble_to_parquet(
 ) -> None:
     """Convert preamble CSVs to Parquet, one output folder per input file."""
     rows = read_csv_preamble(spark, in_glob, schema, skip)
-    name = F.regexp_extract("_source_file", r"([^/]+?)(\.csv)?$", 1)
     (
-        rows.withColumn("source_name", name)
+        rows.withColumn("source_name", source_name(F.col("_source_file")))
         .drop("_source_file")
         .write.mode("overwrite")
         .partitionBy("source_name")

@@ -953,26 +953,15 @@ def csv_preamble(spark, d):
     header, converted to Parquet and read back."""
     rows = A.readings_raw(spark, d)
     n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = rows.select(
-        F.pmod(F.xxhash64(*DATA), F.lit(n_files)).alias("part"),
-        F.lit(1).alias("section"),
-        F.to_csv(F.struct(*DATA), files.CSV_SPACES).alias("line"),
-    )
     head = ["# prose", "# licence", "", "# more, prose", ",".join(DATA)]
-    opening = spark.range(n_files).select(
-        F.col("id").alias("part"), F.lit(0).alias("section"), F.lit("\n".join(head)).alias("line")
+    opens = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the first row of a task
+    line = F.to_csv(F.struct(*DATA), files.CSV_SPACES)
+    lines = rows.repartition(n_files, F.xxhash64(*DATA)).select(
+        F.when(opens, F.concat(F.lit("\n".join([*head, ""])), line)).otherwise(line).alias("line")
     )
     landing, out = scratch_path(spark, "preamble"), scratch_path(spark, "preamble-parquet")
-    (
-        body.unionByName(opening)
-        .repartition(n_files, "part")
-        .sortWithinPartitions("part", "section")
-        .select("part", "line")
-        .write.partitionBy("part")
-        .option("compression", "none")
-        .text(landing)
-    )
-    files.csv_preamble_to_parquet(spark, f"{landing}/*/*.txt", out)
+    lines.write.option("compression", "none").text(landing)
+    files.csv_preamble_to_parquet(spark, f"{landing}/*.txt", out)
     return spark.read.parquet(out).select(*DATA)
 
 

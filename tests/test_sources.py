@@ -9,6 +9,7 @@ from hazeline.plans import bronze, places
 from hazeline.session import shared_dir
 from hazeline.sources import files, inline, payloads, sinks
 from hazeline.streaming import ingest
+from hazeline.testbed import registry
 
 
 def docs(spark, *payload_rows, keys=()):
@@ -38,6 +39,23 @@ def test_preamble_is_dropped_once_per_file(spark, tmp_path):
     assert dict(back.groupBy("source_name").count().collect()) == {"a": 4000, "b": 3}
 
 
+def test_source_name_is_cut_without_patterns(spark):
+    paths = ["file:/x.csv/a.csv", "file:/x/part-0-c000.txt", "b.csv.csv", "s3://x/.csv", "d"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(files.source_name(F.col("p")).alias("n"))
+    assert [r.n for r in rows.collect()] == ["a", "part-0-c000.txt", "b.csv", ".csv", "d"]
+    assert "regexp" not in rows._jdf.queryExecution().toString().lower()
+
+
+def test_preamble_query_lands_files_that_open_with_prose(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "scratch_path", lambda s, label: str(tmp_path / label))
+    rows = registry.csv_preamble(spark, sf)
+    landed = [p.read_text().split("\n") for p in (tmp_path / "preamble").glob("*.txt")]
+    assert len(landed) > 1
+    assert all(lines[:2] == ["# prose", "# licence"] and lines[4] == ",".join(registry.DATA) for lines in landed)
+    assert sum(lines.count("# prose") for lines in landed) == len(landed)
+    assert sum(len(lines) - 6 for lines in landed) == rows.count()
+
+
 def test_preamble_columns_go_by_name(spark, tmp_path):
     prose = "one\ntwo, of a.csv\n\nfour\n"
     (tmp_path / "a.csv").write_text(prose + "Country,Date,City,Specie,count,min,max,median,variance\nNG,2020-01-01,Lagos,pm25,1,1,2,1.5,0.1\n")
