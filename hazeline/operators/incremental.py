@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,14 +54,20 @@ def _months(batch: DataFrame, within: str) -> DataFrame:
 
 
 def unseen(
-    batch: DataFrame, target: DataFrame, keys: Sequence[str] = S.READING_KEYS, within: str = "date"
+    batch: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str] = S.READING_KEYS,
+    within: str = "date",
+    dated: DataFrame | None = None,
 ) -> DataFrame:
-    """As ``only_new``, for a batch that is cheap to read more than once."""
+    """As ``only_new``, for a batch that is cheap to read more than once, or that comes
+    from rows ``dated`` which are: they have all of its months."""
+    dated = batch if dated is None else dated
     if MONTH not in target.columns:
-        span = batch.agg(F.struct(F.min(within).alias("first"), F.max(within).alias("last"))).scalar()
+        span = dated.agg(F.struct(F.min(within).alias("first"), F.max(within).alias("last"))).scalar()
         target = target.filter(F.col(within).between(span["first"], span["last"]))
         target = target.withColumn(MONTH, month_of(within))
-    known = target.join(F.broadcast(_months(batch, within)), MONTH, "left_semi")
+    known = target.join(F.broadcast(_months(dated, within)), MONTH, "left_semi")
     return batch.join(known.select(*keys).distinct(), list(keys), "left_anti").select(*batch.columns)
 
 
@@ -90,11 +96,24 @@ def read_months(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def load_batch(
-    batch: DataFrame, path: str, keys: Sequence[str] = S.READING_KEYS, within: str = "date"
+    batch: DataFrame,
+    path: str,
+    keys: Sequence[str] = S.READING_KEYS,
+    within: str = "date",
+    reduce: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Append the new rows of a batch to a Parquet folder laid out by month; the first
     load makes it. The batch is evaluated once and only its months of the folder are
-    read. Running it again, also after a failure, writes nothing more."""
+    read. Running it again, also after a failure, writes nothing more.
+
+    With ``reduce`` the batch, which should then be files that are cheap to read twice, is
+    reduced first. Its rows are not staged: a reduction by the keys leaves them where they
+    meet the keys of the folder, so that they go through one shuffle for both."""
+    if reduce is not None:
+        rows = reduce(batch)
+        target = read_months(batch.sparkSession, path, rows.schema)
+        write_months(unseen(rows, target, keys, within, batch), path, within)
+        return
     with staging(batch, "batch") as rows:
         target = read_months(batch.sparkSession, path, batch.schema)
         write_months(unseen(rows, target, keys, within), path, within)

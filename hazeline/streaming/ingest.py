@@ -47,7 +47,7 @@ def load_new(
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        load_batch(reduce(expect_or_drop(batch, gates)), out, keys)
+        load_batch(expect_or_drop(batch, gates), out, keys, reduce=reduce)
 
     return _start(stream, write, checkpoint)
 

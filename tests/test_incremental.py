@@ -87,6 +87,19 @@ def test_staged_batches_are_removed(spark, tmp_path, monkeypatch):
     assert len(made) == 2 and not any(Path(p).exists() for p in made)
 
 
+def test_reduced_batches_are_not_staged(spark, tmp_path, monkeypatch):
+    """One shuffle of whole rows up to the comparison, not a second one from staged files."""
+    made, out = [], str(tmp_path / "t")
+    monkeypatch.setattr(sinks, "scratch_path", lambda s, label: made.append(label) or str(tmp_path / label))
+    days = [START + timedelta(days=k) for k in range(0, 90, 10)]
+    for load, n in ((days[:6], 6), (days, 9), (days, 9)):
+        batch = readings(spark, load, count=3).unionByName(readings(spark, load, count=8))
+        incremental.load_batch(batch, out, reduce=dedup_best)
+        got = incremental.read_months(spark, out, batch.schema).collect()
+        assert len(got) == n and {r["count"] for r in got} == {8}
+    assert not made
+
+
 def test_unreadable_dates_have_a_month_of_their_own(spark, tmp_path):
     out = str(tmp_path / "t")
     batch = spark.createDataFrame([("Unknown", "NG", "a", "co"), ("2021-02-03", "NG", "a", "co")], "date string, country string, city string, specie string")
