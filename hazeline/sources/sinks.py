@@ -24,9 +24,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def staging(df: DataFrame, label: str) -> Iterator[DataFrame]:
-    """As ``staged``, for work that ends within the block: the files go with it."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+def staging(df: DataFrame, label: str, session: SparkSession | None = None) -> Iterator[DataFrame]:
+    """As ``staged``, for work that ends within the block: the files go with it. They are
+    read in the session of the rows, or in another one."""
+    spark, path = session or df.sparkSession, scratch_path(df.sparkSession, label)
     try:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)

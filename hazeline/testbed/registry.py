@@ -1107,7 +1107,8 @@ def stream_state(spark, d):
     for part in _numbered(raw.filter("date < DATE '2021-06-01' AND specie <> 'bc'"), increment, raw):
         part.write.mode("append").parquet(landing)
         stream = ingest.landed_stream(spark, landing, part.schema)
-        ingest.load_with_state(stream, out, state, reduce=dedup.dedup_best).awaitTermination()
+        since = ingest.settled_before(spark, landing, part.schema)
+        ingest.load_with_state(stream, out, state, reduce=dedup.dedup_best, since=since).awaitTermination()
     return ingest.loaded(spark, out, part.schema).select(*part.columns)
 
 

@@ -157,6 +157,26 @@ def test_stream_state_is_bounded_and_loses_nothing(spark, tmp_path):
     assert max(kept) <= 25 < len(want)
 
 
+def test_history_stays_out_of_the_state_and_in_few_files(spark, tmp_path):
+    landing, out, state = (str(tmp_path / x) for x in ("landing", "out", "state"))
+    updated, want = [], {}
+    for days, count in ((range(0, 400), 5), ([*range(380, 410), 7, -30], 6)):
+        part = readings(spark, [START + timedelta(days=k) for k in days], count=count)
+        part.write.mode("append").parquet(landing)
+        since = ingest.settled_before(spark, landing, part.schema, delay="10 days")
+        stream = ingest.landed_stream(spark, landing, part.schema)
+        query = ingest.load_with_state(stream, out, state, reduce=dedup_best, delay="10 days", since=since)
+        query.awaitTermination()
+        updated += [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
+        for k in days:
+            want.setdefault(START + timedelta(days=k), count)
+    assert 0 < max(updated) <= 11
+    got = stream_days(spark, out, part.schema)
+    assert {d: c for d, c, _ in got} == want and len(got) == len(want)
+    months = [m for m in Path(out).glob("batch=*/month=*") if list(m.glob("*.parquet"))]
+    assert months and all(len(list(m.glob("*.parquet"))) == 1 for m in months)
+
+
 def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     out = str(tmp_path / "out")
     rows = readings(spark, [START, START + timedelta(days=40)])
