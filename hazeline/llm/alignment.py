@@ -1,13 +1,14 @@
 """Alignment of two tokenizers over the same texts.
 
 Every text is tokenized in full by a byte-level BPE (A, by its merge automaton; the text
-gets a blank before it) and by a ``sentencepiece`` model (B, which puts that blank
-itself). Special strings inside texts are plain text. A place where a token of A and one
-of B both begin with a blank is an anchor if both have the same byte offset; anchors part
-a document into windows of token ids. How the tokens inside a window fall into groups
-depends on its ids alone, so a window is aligned once and remembered by the tuple of its
-ids. Groups are cut wherever tokens of A and B end at the same byte; the two tokens that
-end a group together are linked, and links are counted over the whole corpus.
+gets a blank before it) and by a ``sentencepiece`` BPE model (B, which puts that blank
+itself). Special strings inside texts are plain text. A single blank between two other
+characters is an anchor: a token of A and one of B both begin there, since A parts texts
+before such blanks and no piece of B holds a blank behind another character. Anchors part
+a document into windows. The tokens inside a window, and how they fall into groups, depend
+on its bytes alone, so a window is tokenized and aligned once and remembered by its bytes.
+Groups are cut wherever tokens of A and B end at the same byte; the two tokens that end a
+group together are linked, and links are counted over the whole corpus.
 
 Documents are read once; groups, links with their number, and a task's own counts of
 links go to a file in the shared folder. The counts of all tasks, a row for each pair of
@@ -32,13 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.batch_encoder import BatchEncoder, Labels, in_runs
+from hazeline.llm.batch_encoder import ALNUM, KINDS, WIDE, BatchEncoder, Labels, _after_wide_space, in_runs
 from hazeline.llm.bpe_automaton import Automaton
 from hazeline.llm.common import map_batches, spread
 from hazeline.session import scratch_path
 
 BLANK = "▁"  # what stands for a blank in the pieces of B (fixed value)
-B_SIDE = np.uint32(1 << 31)  # marks the ids of B in a window
 
 
 def whole_arrays(parts: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +47,21 @@ def whole_arrays(parts: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray
     return np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum())), sizes
 
 
+def anchors(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where windows begin, and the end of the data: at the texts' own bounds and at single
+    blanks between other characters. Every text begins with a blank."""
+    at = np.flatnonzero(data[1:-1] == 0x20) + 1
+    before = KINDS[data[at - 1]]
+    at = at[(before >= ALNUM) & (KINDS[data[at + 1]] >= ALNUM)]
+    wide = KINDS[data[at - 1]] == WIDE
+    if wide.any():
+        wide[wide] = _after_wide_space(data, at[wide])
+        at = at[~wide]
+    mark = np.zeros(len(data) + 1, bool)
+    mark[at] = mark[bounds] = True
+    return np.flatnonzero(mark)
+
+
 def both_at(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in two rising lists of the numbers that both hold."""
     place = np.full(max(a[-1:].max(initial=0), b[-1:].max(initial=0)) + 1, -1, np.int64)
@@ -78,12 +93,14 @@ class Aligner:
         n_a, n_b = len(self.a.size), len(self.b.size)
         self.written = [f"{i}{c}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for c in ends for i in range(n)]
         self.base_b = 2 * n_a
+        self.parted = not any(BLANK in sp.id_to_piece(i).lstrip(BLANK) for i in range(sp.get_piece_size()))
         self.memo = memo
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = {}  # -1: its tokens do not give back its bytes
         self.groups: list[str] = []  # each group with a semicolon behind it
+        self.n_a, self.n_b = array("q"), array("q")
         self.links, self.ends = array("q"), array("q", [0])
         self.count_anew()
 
@@ -93,6 +110,8 @@ class Aligner:
     def _align(self, keys: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
         """Align windows that are not known yet, all at once: ids of A and B of all
         windows, one after the other, and how many each window has."""
+        self.n_a.frombytes(n_a.astype(np.int64).tobytes())
+        self.n_b.frombytes(n_b.astype(np.int64).tobytes())
         at_a, at_b = both_at(np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b]))
         # A group's ids of A stand before its ids of B.
         group_a = np.searchsorted(at_a, np.arange(len(a)))
@@ -112,13 +131,11 @@ class Aligner:
         self.links.frombytes((a[at_a] * len(self.b.size) + b[at_b]).tobytes())
         self.ends.frombytes((self.ends[-1] + done).tobytes())
 
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, closed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and how many each text has, and the same of B; none for texts whose
-        ids do not give back their bytes."""
-        nothing, blank = (pa.scalar(c, pa.large_string()) for c in ("", " "))
-        closed = pc.binary_join_element_wise(nothing, texts.cast(pa.large_string()), blank)
+        ids do not give back their bytes. Each text has the blank before it."""
         a, n_a = self.encode_a(closed)
-        b, n_b = whole_arrays(self.sp.encode(texts.to_pylist(), num_threads=1))
+        b, n_b = whole_arrays(self.sp.encode([t[1:] for t in closed.to_pylist()], num_threads=1))
         size = pc.binary_length(closed).to_numpy()
         raw = np.frombuffer(closed.buffers()[2], np.uint8)[: size.sum()]
         good = (size > 1) & self._same(self.a, a, n_a, raw, size) & self._same(self.b, b, n_b, raw, size)
@@ -145,30 +162,35 @@ class Aligner:
     def windows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of tokens of A and B of each text, the windows of all texts in order,
         and how many windows each has."""
-        a, n_a, b, n_b = self.tokens(texts)
-        size_a, size_b = self.a.size[a], self.b.size[b]
-        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-        # Anchors: blank-marked tokens of both that begin at the same byte, and the texts'
-        # own beginnings, where both have such a token.
-        mark_a, mark_b = np.flatnonzero(self.a.marked[a]), np.flatnonzero(self.b.marked[b])
-        at_a, at_b = both_at(start_a[mark_a], start_b[mark_b])
-        at_a, at_b = np.r_[mark_a[at_a], len(a)], np.r_[mark_b[at_b], len(b)]
-        wide_a, wide_b = np.diff(at_a), np.diff(at_b)
-        ids = np.empty(len(a) + len(b), np.uint32)
-        ids[np.arange(len(a)) + np.repeat(at_b[:-1], wide_a)] = a
-        ids[np.arange(len(b)) + np.repeat(at_a[1:], wide_b)] = b.astype(np.uint32) | B_SIDE
-        data, stops = ids.tobytes(), (4 * (at_a + at_b)).tolist()
-        keys = [data[s:e] for s, e in zip(stops, stops[1:])]
+        nothing, blank = (pa.scalar(c, pa.large_string()) for c in ("", " "))
+        closed = pc.binary_join_element_wise(nothing, texts.cast(pa.large_string()), blank)
+        bounds = np.r_[0, np.cumsum(pc.binary_length(closed).to_numpy())]
+        data = np.frombuffer(closed.buffers()[2], np.uint8)[: bounds[-1]]
+        starts = anchors(data, bounds) if self.parted else bounds
+        spans = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]
+        )
+        pieces = spans.dictionary_encode()
+        keys = pieces.dictionary.to_pylist()
         found = list(map(self.known.get, keys))
-        new = {key: place for place, (key, k) in enumerate(zip(keys, found)) if k is None}
+        new = [key for key, k in zip(keys, found) if k is None]
         if new:
-            at = np.fromiter(new.values(), np.int64, len(new))
-            self._align(
-                list(new), a[spread(at_a[at], wide_a[at])], wide_a[at], b[spread(at_b[at], wide_b[at])], wide_b[at]
-            )
+            a, n_a, b, n_b = self.tokens(pa.array(new, pa.large_binary()).cast(pa.large_string()))
+            good = n_a > 0
+            if not good.all():
+                self.known.update((key, -1) for key, g in zip(new, good.tolist()) if not g)
+                new = [key for key, g in zip(new, good.tolist()) if g]
+            self._align(new, a, n_a[good], b, n_b[good])
             found = list(map(self.known.__getitem__, keys))
-        first = np.r_[0, np.cumsum(n_a)]
-        return n_a, n_b, np.array(found, np.int64), np.diff(np.searchsorted(at_a[:-1], first))
+        windows = np.array(found, np.int64)[pieces.indices.to_numpy()]
+        n = np.diff(np.searchsorted(starts, bounds))
+        if (windows < 0).any():
+            # One window that does not give back its bytes, and the text has no tokens.
+            whole = np.minimum.reduceat(windows, np.cumsum(n) - n) >= 0
+            windows, n = windows[np.repeat(whole, n)], n * whole
+        ends = np.r_[0, np.cumsum(n)]
+        n_a, n_b = (np.diff(np.r_[0, np.cumsum(np.array(x, np.int64)[windows])][ends]) for x in (self.n_a, self.n_b))
+        return n_a, n_b, windows, n
 
     def count(self, windows: np.ndarray) -> None:
         if len(self.seen) < len(self.groups):

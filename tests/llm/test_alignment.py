@@ -146,6 +146,20 @@ def test_groups_equal_the_libraries(texts):
         at += k
 
 
+def test_windows_are_tokenized_once(monkeypatch):
+    """A window that was seen before costs neither tokenizer anything."""
+    both = alignment.Aligner(BYTE_BPE, PIECE_BPE)
+    real, given_ = both.tokens, []
+    monkeypatch.setattr(both, "tokens", lambda closed: given_.extend(closed.to_pylist()) or real(closed))
+    texts = ["the of the  of", "naïve of\u3000 the", "", "a▁b of"]
+    first = both.windows(pa.array(texts))
+    assert sorted(given_) == sorted([" the", " of", " the  of", " naïve", " of\u3000 the", " ", " a▁b"])
+    again = both.windows(pa.array(texts[::-1]))
+    assert len(given_) == 7
+    assert [x.tolist() for x in again[:2]] == [x.tolist()[::-1] for x in first[:2]]
+    assert first[3].tolist() == [len(first[2]) - 2, 2, 0, 0]
+
+
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert rows_of(QUERIES["op12_alignment"](spark, sf)) == brute(docs)
