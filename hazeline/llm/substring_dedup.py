@@ -19,6 +19,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ ANCHOR = 5
 BYTES = 9  # of a window's two hashes beside its anchor's
 HEAD = 17  # bytes before them: of the anchor, the document, a mark and the first start
 KEY = 5  # bytes of the anchor
+TOGETHER = 12 << 20  # bytes of text looked at together
+SENT = 1 << 16  # rows in one result batch
 HELD = 1 << 20  # starts that a task holds before it sends them on, a row a document
 MARK = 1 << 31  # of windows, beside the start; settled starts have none
 SECOND = np.uint64(0xD1B54A32D192ED03)  # for the second hash words are mixed with this
@@ -136,6 +140,43 @@ def window_anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return best, at
 
 
+def runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Runs of rows of a batch that are looked at together: up to 3000, and about
+    ``TOGETHER`` bytes of text, or a row that has more."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    out, begin, held = [], 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > begin and (k - begin == 3000 or held + n > TOGETHER):
+            out.append((begin, k))
+            begin, held = k, 0
+        held += n
+    return [*out, (begin, batch.num_rows)]
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts one after the other; their list is emptied."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
+def held_twice(win: np.ndarray, chk: np.ndarray, rank: np.ndarray, whose: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where windows stand that also stand earlier in the batch, in rising order. ``rank``:
+    order of the documents; ``whose``: document of each window."""
+    order = np.argsort(win)
+    same = win[order[1:]] == win[order[:-1]]
+    busy = np.zeros(len(win), bool)
+    busy[1:] |= same
+    busy[:-1] |= same
+    at = np.sort(order[busy])
+    w, c, d, p = win[at], chk[at], rank[whose[at]], place[at]
+    order = np.lexsort((p, d, c, w))
+    w, c, d, p = w[order], c[order], d[order], p[order]
+    # The place itself, where a key occurs twice, is not an earlier one.
+    later = (w[1:] == w[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+    return np.sort(at[order[1:][later]])
+
+
 def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
     """``data``: windows that share an anchor and lie side by side, as the hash bytes of
     each; or starts that are settled. In front stand the anchor, the document, a mark that
@@ -146,9 +187,9 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
         hashes = WordHashes()
         reference = [Shard(*s) for s in shards]
         for batch in batches:
-            for begin in range(0, batch.num_rows, 3000):
-                docs_, wins, checks, ancs, places, done = [], [], [], [], [], []
-                for doc, text in zip(*columns(batch.slice(begin, 3000))):
+            for begin, end in runs(batch):
+                ids, wins, checks, ancs, places, sizes, done = [], [], [], [], [], [], []
+                for doc, text in zip(*columns(batch.slice(begin, end - begin))):
                     words = hashes.of(words_of(text))
                     anchors, at = window_anchors(words, length)
                     n = len(anchors)
@@ -164,26 +205,35 @@ def window_rows(docs: DataFrame, shards: list[tuple], length: int) -> DataFrame:
                     second = ngram_hashes(mix64(words ^ SECOND), length)[starts]
                     checks.append((second >> np.uint64(56)).astype(np.uint8))
                     ancs.append(anchors[starts])
-                    places.append(starts)
-                    docs_.append(np.full(len(starts), doc))
+                    places.append(starts.astype(np.uint32))
+                    ids.append(doc)
+                    sizes.append(len(starts))
                 if wins:
-                    win, chk, anc, place, doc_ = map(np.concatenate, (wins, checks, ancs, places, docs_))
-                    order = np.lexsort((place, doc_, chk, win))
-                    first = np.ones(len(win), bool)
-                    w, c, p, d = win[order], chk[order], place[order], doc_[order]
-                    later = (w[1:] == w[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (p[1:] != p[:-1]))
-                    first[order[1:][later]] = False
-                    gone, whose = place[~first], doc_[~first]
-                    cuts = np.flatnonzero(np.diff(whose)) + 1
-                    done += [(int(d[0]), s) for d, s in zip(np.split(whose, cuts), np.split(gone, cuts)) if len(s)]
-                    win, chk, anc, place, doc_ = win[first], chk[first], anc[first], place[first], doc_[first]
+                    # Windows are many: few bytes each, and no list outlives its array.
+                    win, chk, anc, place = (joined(parts) for parts in (wins, checks, ancs, places))
+                    ids = np.array(ids, np.int64)
+                    rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+                    whose = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+                    gone = held_twice(win, chk, rank, whose, place)
+                    if len(gone):
+                        owner, start = ids[whose[gone]], place[gone]
+                        at = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+                        done += [(int(d[0]), s) for d, s in zip(np.split(owner, at), np.split(start, at))]
+                        first = np.ones(len(win), bool)
+                        first[gone] = False
+                        win, chk, anc, place, whose = (x[first] for x in (win, chk, anc, place, whose))
                     if len(win):
-                        new = np.r_[True, (anc[1:] != anc[:-1]) | (doc_[1:] != doc_[:-1]) | (np.diff(place) != 1)]
+                        raw = np.empty((len(win), BYTES), np.uint8)
+                        raw[:, :8], raw[:, 8] = win.view(np.uint8).reshape(-1, 8), chk
+                        del win, chk
+                        d = rank[whose]
+                        new = np.r_[True, (anc[1:] != anc[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1] + np.uint32(1))]
                         at = np.flatnonzero(new)
-                        raw = np.hstack([win.view(np.uint8).reshape(-1, 8), chk.reshape(-1, 1)]).tobytes()
-                        front = heads(anc[at], doc_[at], place[at] + MARK)
-                        ends = np.append(at[1:], len(win)).tolist()
-                        yield {"data": [h + raw[BYTES * a : BYTES * b] for h, a, b in zip(front, at.tolist(), ends)]}
+                        ends, raw = np.append(at[1:], len(raw)), memoryview(raw.reshape(-1))
+                        for k in range(0, len(at), SENT):
+                            a, b = at[k : k + SENT], ends[k : k + SENT].tolist()
+                            front = heads(anc[a], ids[whose[a]], place[a].astype(np.int64) + MARK)
+                            yield {"data": [h + raw[BYTES * x : BYTES * y] for h, x, y in zip(front, a.tolist(), b)]}
                 if done:
                     anywhere = mix64(np.arange(len(done)))
                     front = heads(anywhere, np.array([d for d, _ in done], np.int64), np.zeros(len(done), np.int64))
