@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,6 +146,19 @@ def _regressor(target: str, rounds: int, **params) -> GBTRegressor:
     )
 
 
+def first_rounds(trees: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model that boosting ended after ``rounds`` would be, without fitting it anew: a
+    round's trees depend on the rounds before it only."""
+    context, fitted = SparkContext.getOrCreate(), trees._java_obj
+    jvm = context._jvm.org.apache.spark.ml.regression
+    kept = context._gateway.new_array(jvm.DecisionTreeRegressionModel, rounds)
+    weights = context._gateway.new_array(context._jvm.double, rounds)
+    for k, tree in enumerate(fitted.trees()[:rounds]):
+        kept[k], weights[k] = tree, float(trees.treeWeights[k])
+    cut = GBTRegressionModel(jvm.GBTRegressionModel(fitted.uid(), kept, weights, fitted.numFeatures()))
+    return trees._copyValues(cut, {trees.maxIter: rounds})
+
+
 def rounds_made(model: PipelineModel) -> int:
     return model.stages[-1].getNumTrees
 
@@ -171,27 +185,32 @@ def fit_gbt(
 ) -> PipelineModel:
     """Boosted trees on squared error, of ``rounds`` rounds at most. Boosting ends when the
     last ``patience`` rounds together took less than ``least_gain`` of the error on held-back
-    rows, and rounds after the best are then left out. A round's trees depend on the rounds
-    before it only, so tries of ``FIRST_ROUNDS``, then twice as many, and so on agree where
-    they overlap, and cost about twice the last one. The rows and every tenth round are
-    checkpointed in the shared folder: features are computed once, and a lost executor
-    replays neither them nor the boosting history."""
+    rows, and rounds after the best are then left out. That is looked at after
+    ``FIRST_ROUNDS``, twice as many, and so on. A round's trees depend on the rounds before
+    it only, so a fit says how all shorter ones would have ended: the first has room for the
+    first two looks, each one after for one more, and the rounds to keep are taken out of the
+    last. The rows and every tenth round are checkpointed in the shared folder: features
+    are computed once, and a lost executor replays neither them nor the boosting history."""
     shared_dir(train.sparkSession)
     rows = marked(require_target(train, target)).select(*features, F.col(target).cast("double"), VALID)
     packer = Pipeline(stages=assembler(features)).fit(rows)
     rows = packer.transform(rows).select("features", target, VALID).checkpoint()
     fitting, held = rows.filter(f"NOT {VALID}"), rows.filter(VALID)
-    tried, watched = min(FIRST_ROUNDS, rounds), not held.isEmpty()
+    looks, watched = [min(FIRST_ROUNDS, rounds)], not held.isEmpty()
+    if watched:
+        looks.append(min(2 * looks[0], rounds))
     while True:
-        trees = _regressor(target, tried, **params).fit(fitting)
+        trees = _regressor(target, looks[-1], **params).fit(fitting)
         errors = trees.evaluateEachIteration(held, "squared") if watched else []
-        best = rounds_to_keep(errors, patience, least_gain) if watched else tried
-        if best is not None or tried == rounds:
+        kept = (rounds_to_keep(errors[:n], patience, least_gain) if watched else None for n in looks)
+        best = next((n for n in kept if n is not None), None)
+        if best is not None or looks[-1] == rounds or not watched:
             break
-        tried = min(2 * tried, rounds)
-    best = best or min(range(tried), key=errors.__getitem__) + 1
-    if best < tried:
-        trees = _regressor(target, best, **params).fit(fitting)
+        looks = [min(2 * looks[-1], rounds)]
+    if best is None:
+        best = min(range(len(errors)), key=errors.__getitem__) + 1 if watched else looks[-1]
+    if best < looks[-1]:
+        trees = first_rounds(trees, best)
     return PipelineModel([*packer.stages, trees])
 
 

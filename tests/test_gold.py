@@ -154,6 +154,34 @@ def test_rounds_are_chosen_on_held_back_rows(spark, monkeypatch):
     assert model.rounds_made(alone) == 3  # no held-back rows to watch
 
 
+def test_rounds_to_keep_are_not_fitted_again(spark, monkeypatch, tmp_path):
+    """The model kept is the one that its number of rounds gives, saved and loaded too."""
+    draw = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100)).cast("double")
+    rows = spark.range(600).select(
+        F.lit("NG").alias("country"), F.lit("a").alias("city"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        draw(0).alias("unused"), draw(1).alias("x"), (draw(1) + draw(2)).alias("y"), F.lit(0.0).alias("last"),
+    )
+    real, fits = model._regressor, []
+    monkeypatch.setattr(model, "_regressor", lambda target, rounds, **p: fits.append(rounds) or real(target, rounds, **p))
+    monkeypatch.setattr(model, "FIRST_ROUNDS", 6)
+    inputs, limits = ["unused", "x", "last"], {"stepSize": 0.9, "maxDepth": 3}
+    fitted = model.fit_gbt(rows, inputs, "y", rounds=6, patience=4, **limits)
+    kept = model.rounds_made(fitted)
+    assert fits == [6] and kept < 6
+    # One fit serves two looks: it ends where a fit of the first look's rounds would.
+    assert model.rounds_made(model.fit_gbt(rows, inputs, "y", patience=4, **limits)) == kept and fits == [6, 12]
+    alone = model.fit_gbt(rows, inputs, "y", rounds=kept, patience=9, least_gain=0.0, **limits)
+    assert model.rounds_made(alone) == kept == fitted.stages[-1].getMaxIter()
+    model.save_model(fitted, str(tmp_path / "m"))
+    again = model.load_model(str(tmp_path / "m"))
+    want = model.predict(alone, rows).select("date", "prediction").collect()
+    assert all(sorted(model.predict(m, rows).select("date", "prediction").collect()) == sorted(want) for m in (fitted, again))
+    assert fitted.stages[-1].treeWeights == alone.stages[-1].treeWeights == again.stages[-1].treeWeights
+    weights = [model.importances(m, spark, inputs).collect() for m in (fitted, alone, again)]
+    assert weights[0] == weights[1] == weights[2] and len(weights[0]) == 3
+
+
 def test_search(spark, sf):
     rows = R.feature_rows(spark, sf)
     best = model.search(rows, n=2, folds=2, rounds=1)
