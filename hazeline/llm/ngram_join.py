@@ -7,7 +7,21 @@ The pivots of the first level are single n-grams: a document enters the regions
 n-grams that come first in its set under one common order (rare ones before frequent
 ones). A set and one it links to share such an n-gram, since ``1 - r`` of the larger must
 be common, so every link lies inside a region, and boundary documents are in all regions
-they could link in. Regions then join recursively. In each, the documents with the
+they could link in.
+
+A large region is divided by one central pivot, which all of its documents meet. Those far
+from it stay together in a region without those near it; on the seam they are in both. Two
+of the near ones share at most what either shares with the pivot; where that is not enough for a link,
+they must also share an n-gram that the pivot lacks. So each enters a region of the pivot
+and such an n-gram, for those that come first among them in its set. There a document that
+does not link to the pivot meets the others, as long as what they can share at most allows
+a link; the few pairs for which the pivot's n-grams can be enough are looked at one by
+one. Near copies of one text that lie just beyond the threshold thereby rarely make a
+pair: what they share is the pivot's, less what either lacks of it. Before that, a
+document without a link to the pivot meets the one nearest to the pivot that lacks the
+same n-gram of it, for each that it lacks, which links most of those that have links.
+
+Small regions then join recursively. In each, the documents with the
 smallest seeded hashes are pivots; every other document that may still matter meets them,
 and gets its exact distance by the whole sets. Documents linked through pivots are in one
 component and need no further look at each other. Two documents of different components
@@ -21,6 +35,8 @@ A set is of 64-bit n-gram hashes, and equal sets form one class before all else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -31,6 +47,10 @@ from hazeline.llm.common import columns, components, map_batches, mix64, ngram_h
 HOT = 1 << 16  # n-grams that are put last in the common order, at most
 PER_SALT = 256  # members that meet a pivot in one run
 BUCKETS = 256  # of a sketch
+LARGE = 128  # documents of a region that is not divided, at most
+BALL = 80  # a pivot divides those at this distance at most, in percent
+STEP = 1.02  # ratio of sizes that fall in one class of sizes
+MASK = ["m0", "m1", "m2", "m3"]  # 64 bits each, for the n-grams of a pivot that a set lacks
 FIRST, GROWTH = 4, 8  # pivots of a region in the first round, times as many in each after
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # bytes between words
 OF_BYTE = np.where(GAP, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
@@ -102,14 +122,28 @@ def needed(size: int, pct: int) -> int:
     return -(-size * pct // 100)
 
 
-def prefixes(docs: DataFrame, n: int, pct: int) -> DataFrame:
+def common_order(hot: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Places of n-grams in the common order: by a hash, but frequent ones last."""
+    by = np.argsort(hot)
+    known = hot[by]
+
+    def places(grams: np.ndarray) -> np.ndarray:
+        order = mix64(grams) >> np.uint64(1)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            is_hot = known[at] == grams
+            order[is_hot] = by[at[is_hot]].astype(np.uint64) + np.uint64(1 << 63)
+        return order
+
+    return places
+
+
+def prefixes(docs: DataFrame, n: int, pct: int, hot: np.ndarray) -> DataFrame:
     """``doc, size, h1, h2, prefix`` of every document: size and digest of its set and the
     n-grams that come first in the common order. A batch gives one prefix for equal sets."""
-    hot = frequent(docs, n)
 
     def run(batches):
-        by = np.argsort(hot)
-        known = hot[by]
+        places = common_order(hot)
         for batch in batches:
             for begin in range(0, batch.num_rows, 3000):
                 out: dict[str, list] = {k: [] for k in ("doc", "size", "h1", "h2", "prefix")}
@@ -121,12 +155,7 @@ def prefixes(docs: DataFrame, n: int, pct: int) -> DataFrame:
                     prefix = None
                     if len(grams) and digest not in seen:
                         seen.add(digest)
-                        order = mix64(grams) >> np.uint64(1)
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                            is_hot = known[at] == grams
-                            order[is_hot] = by[at[is_hot]].astype(np.uint64) + np.uint64(1 << 63)
-                        first = np.argsort(order)[: len(grams) - needed(len(grams), pct) + 1]
+                        first = np.argsort(places(grams))[: len(grams) - needed(len(grams), pct) + 1]
                         prefix = grams[first].view(np.int64).tolist()
                     for name, v in zip(out, (doc, len(grams), h1, h2, prefix)):
                         out[name].append(v)
@@ -172,10 +201,14 @@ def near_enough(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     return map_batches(rows, "pivot long, doc long", run)
 
 
-def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def distances(pairs: DataFrame, texts: DataFrame, n: int, pct: int = 0, hot: np.ndarray | None = None) -> DataFrame:
     """``pivot, doc, common, total`` of pairs: exact sizes of intersection and union. A
     pivot's set is held while its members stream past; a pivot with many members has a
-    copy for every few hundred of them."""
+    copy for every few hundred of them. With ``hot`` also ``size, rest, lacks``: the size
+    of the document's set, its prefix where the pivot's n-grams come last, without those,
+    and the pivot's n-grams that it lacks, if a document linked to the pivot can link to
+    it. And a bit for each that it lacks, with the number of those that found theirs set."""
+    names = ("pivot", "doc", "common", "total") + (("size", "rest", "lacks", "extra", *MASK) if hot is not None else ())
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     members = (
         pairs.join(salts, "pivot")
@@ -192,22 +225,38 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         held = np.empty(0, np.uint64)
+        places = common_order(hot) if hot is not None else None
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("pivot", "doc", "common", "total")}
-            for pivot, _, member, doc, text in zip(*columns(batch)):
-                grams = shingles(text or "", n)
-                if not member:
-                    held = grams
-                    continue
-                common = int(np.isin(grams, held, assume_unique=True).sum())
-                for name, v in zip(out, (pivot, doc, common, len(grams) + len(held) - common)):
-                    out[name].append(v)
-            yield out
+            for begin in range(0, batch.num_rows, 3000):
+                out: dict[str, list] = {k: [] for k in names}
+                for pivot, _, member, doc, text in zip(*columns(batch.slice(begin, 3000))):
+                    grams = shingles(text or "", n)
+                    if not member:
+                        held = grams
+                        continue
+                    shared = np.isin(grams, held, assume_unique=True)
+                    common = int(shared.sum())
+                    row = (pivot, doc, common, len(grams) + len(held) - common)
+                    if places is not None:
+                        in_ball = common * 100 >= row[3] * (100 - BALL)
+                        beyond = grams[~shared] if in_ball else grams[:0]
+                        first = np.argsort(places(beyond))[: len(grams) - needed(len(grams), pct) + 1]
+                        reached = common * 100 >= row[3] * (2 * pct - 100)
+                        lacks = held[~np.isin(held, grams, assume_unique=True)]
+                        bits = np.zeros(64 * len(MASK), bool)
+                        bits[(lacks % np.uint64(len(bits))).astype(np.int64)] = True
+                        row += (len(grams), beyond[first].view(np.int64).tolist())
+                        row += (lacks.view(np.int64).tolist() if reached else [], len(lacks) - int(bits.sum()))
+                        row += tuple(np.packbits(bits).view(np.int64).tolist())
+                    for name, v in zip(out, row):
+                        out[name].append(v)
+                yield out
 
     ordered = (
         pivots.unionByName(members).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
     )
-    return map_batches(ordered, "pivot long, doc long, common long, total long", run)
+    kinds = {"rest": "array<long>", "lacks": "array<long>"}
+    return map_batches(ordered, ", ".join(f"{name} {kinds.get(name, 'long')}" for name in names), run)
 
 
 def told_apart(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,6 +282,91 @@ def _allowed(pairs: DataFrame, pct: int) -> DataFrame:
     return pairs.where(allowed).select("pivot", "doc")
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("pivot", "doc").alias("x"), F.greatest("pivot", "doc").alias("y"))
+
+
+def regions_of(entries: DataFrame) -> DataFrame:
+    """``gram, doc, size, members`` of entries that share their n-gram with others."""
+    rows = entries.select("gram", "doc", "size")
+    return rows.withColumn("members", F.count("*").over(Window.partitionBy("gram"))).where("members > 1")
+
+
+def central(large: DataFrame, pct: int, seed: int) -> DataFrame:
+    """Every document of the regions beside the ``pivot`` of its region. Pivot is
+    the document whose prefix lies in large regions for the greatest part: near copies of
+    one text have what was changed in them, which is rare, in front of their prefixes."""
+    share = large.groupBy("doc", "size").agg(F.count("*").alias("n"))
+    share = share.select("doc", (-F.col("n") / (F.col("size") * (100 - pct) + 100)).alias("share"))
+    order = F.struct("share", F.xxhash64("doc", F.lit(seed)).alias("h"), "doc")
+    pivots = large.join(share, "doc").groupBy("gram").agg(F.min(order).alias("first"))
+    return large.join(pivots.select("gram", F.col("first.doc").alias("pivot")), "gram").where("pivot <> doc")
+
+
+def within_pivot(met: DataFrame, pct: int) -> DataFrame:
+    """Pairs of ``pivot, doc`` that can link by n-grams of a pivot that both have met, at
+    least one of them without a link to it. ``most`` is the size of the largest set with
+    which what a document shares with the pivot can be enough for a link; without a link
+    to the pivot that is below the pivot's size."""
+    rows = met.select(
+        "pivot", "doc", "size",
+        (F.col("total") + F.col("common") - F.col("size")).alias("pivot_size"),
+        (F.floor(F.col("common") * (100 + pct) / pct) - F.col("size")).alias("most"),
+        (F.col("common") * 100 >= F.col("total") * pct).alias("linked"),
+    )
+    of_size = lambda c: F.floor(F.log(c) / float(np.log(STEP)))
+    least = F.ceil(F.col("size") * pct / 100)
+    far = rows.where(~F.col("linked") & (F.col("most") >= least)).select(
+        F.col("pivot").alias("at"),
+        F.explode(F.sequence(of_size(least), of_size(F.col("most")))).alias("class"),
+        F.col("doc").alias("other"), F.col("size").alias("other_size"), F.col("most").alias("other_most"),
+    )
+    near = rows.where("size < pivot_size").select(
+        F.col("pivot").alias("at"), of_size(F.col("size")).alias("class"), "doc", "size", "most"
+    )
+    pairs = near.join(far, ["at", "class"]).where("doc <> other AND size <= other_most AND other_size <= most")
+    return pairs.select(F.col("other").alias("pivot"), "doc")
+
+
+def probes(met: DataFrame, pct: int, seed: int) -> DataFrame:
+    """Pairs of ``pivot, doc`` that are likely to link: a document without a link to its
+    pivot beside the one nearest to the pivot that lacks the same n-gram of it."""
+    rows = met.select(
+        F.col("pivot").alias("at"), "doc", (F.col("total") - F.col("common")).alias("far"),
+        (F.col("common") * 100 >= F.col("total") * pct).alias("linked"), F.explode("lacks").alias("gram"),
+    )
+    order = F.struct("far", F.xxhash64("doc", F.lit(seed)).alias("h"), "doc")
+    nearest = rows.groupBy("at", "gram").agg(F.min(order).alias("first"))
+    nearest = nearest.select("at", "gram", F.col("first.doc").alias("pivot"))
+    pairs = rows.where(~F.col("linked")).join(nearest, ["at", "gram"]).where("doc <> pivot")
+    return pairs.select("pivot", "doc").distinct()
+
+
+def divided(met: DataFrame, comp: DataFrame, pct: int) -> DataFrame:
+    """Pairs of ``pivot, doc`` that can link by n-grams that a pivot of both lacks, in the
+    regions of the pivot and one such n-gram: of those that two sets share, the first in
+    the order counts, so none that stand before it are shared. Of the pivot's own n-grams
+    they share what neither lacks. One of the two has no link to the pivot."""
+    rows = met.join(comp.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc").select(
+        "pivot", "doc", "size", "common", "comp", "extra", *MASK,
+        (F.col("total") - F.col("size")).alias("lacking"),
+        (F.col("common") * 100 >= F.col("total") * pct).alias("linked"),
+        F.posexplode("rest").alias("before", "beyond"),
+    )
+    rows = rows.withColumn("after", F.col("size") - F.col("common") - F.col("before")).drop("before")
+    # At most what it shares with the pivot and what comes after is shared with any set.
+    asks = rows.where(~F.col("linked") & (F.col("common") + F.col("after") >= F.ceil(F.col("size") * pct / 100)))
+    asks = asks.drop("linked", "common")
+    asks = asks.select("pivot", "beyond", *[F.col(c).alias(f"o_{c}") for c in asks.columns if c not in ("pivot", "beyond")])
+    bits = sum((F.bit_count(F.col(m).bitwiseAND(F.col(f"o_{m}"))) for m in MASK), F.lit(0))
+    both_lack = F.least("lacking", "o_lacking", bits + F.col("extra"), bits + F.col("o_extra"))
+    within = F.col("common") - F.col("o_lacking") + both_lack
+    most = within + F.least("after", "o_after")
+    can = (F.col("comp") != F.col("o_comp")) & (most * (100 + pct) >= (F.col("size") + F.col("o_size")) * pct)
+    pairs = rows.join(asks, ["pivot", "beyond"]).where(can)
+    return pairs.select(F.col("o_doc").alias("pivot"), "doc", "size", F.col("o_size").alias("pivot_size"))
+
+
 def similarity_classes(
     docs: DataFrame, n: int = 5, pct: int = 80, seed: int = 3, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -246,39 +380,62 @@ def similarity_classes(
     a region's rows of a few numbers each, or a pivot and a few hundred documents."""
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    sets = written(prefixes(rows, n, pct), "sets")
+    hot = frequent(rows, n)
+    sets = written(prefixes(rows, n, pct, hot), "sets")
     full = sets.where("size > 0")
     classes = full.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
     of = full.select("doc", "h1", "h2").join(classes, ["h1", "h2"]).select("doc", "rep")
     of = written(of, "classes")
     line = Window.partitionBy("gram")
     entries = full.where("prefix IS NOT NULL").select("doc", "size", F.explode("prefix").alias("gram"))
-    order = F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), F.col("doc"), F.col("size"))
-    regions = entries.withColumns(
-        {"members": F.count("*").over(line), "first": F.min(order).over(line)}
-    ).where("members > 1")
-    regions = regions.select(
-        "gram", "doc", "size", "members", F.col("first.doc").alias("pivot"), F.col("first.size").alias("pivot_size")
-    )
     # Equal sets of different batches are one document from here on.
-    member = of.select(F.col("doc"), F.col("rep"))
-    pivot = of.select(F.col("doc").alias("pivot"), F.col("rep").alias("pivot_rep"))
-    regions = written(regions, "regions")
-    pairs = _allowed(regions, pct).distinct().join(member, "doc").join(pivot, "pivot")
-    pairs = pairs.select(F.col("pivot_rep").alias("pivot"), F.col("rep").alias("doc")).where("pivot <> doc").distinct()
-    pairs = written(pairs, "pairs")
-    ids = pairs.select("doc").union(pairs.select("pivot")).union(
-        regions.where("members > 2").join(member, "doc").select("rep")
-    ).distinct()
+    shared = regions_of(entries).join(of, "doc").select("gram", F.col("rep").alias("doc"), "size").distinct()
+    regions = written(regions_of(shared), "regions")
+
+    def opened(regions: DataFrame) -> DataFrame:
+        """Regions with the first pivot of each."""
+        order = F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), F.col("doc"), F.col("size"))
+        first = F.min(order).over(line)
+        return regions.withColumns({"pivot": first["doc"], "pivot_size": first["size"]})
+
+    two = _allowed(opened(regions.where("members = 2")), pct)
+    ids = two.select("doc").union(two.select("pivot")).union(regions.where("members > 2").select("doc")).distinct()
     texts = written(sketched(rows.join(ids, "doc", "left_semi"), n), "texts")
-    seen = written(distances(pairs, texts, n), "distances")
+    comp = texts.select(F.col("doc").alias("node"), F.col("doc").alias("component"))
     linked = F.col("common") * 100 >= F.col("total") * pct
-    links = seen.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-    edges = links
-    comp = told_apart(texts.select(F.col("doc").alias("node"), F.col("doc").alias("component")), links)
-    rest = regions.where("members > 2").join(member, "doc").join(pivot, "pivot")
-    rest = rest.select("gram", F.col("rep").alias("doc"), "size", F.col("pivot_rep").alias("pivot")).distinct()
+    linked_pairs = lambda df: df.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    seen = spark.createDataFrame([], "pivot long, doc long, common long, total long")
+    edges = linked_pairs(seen)
+    large, small = regions.where(F.col("members") > LARGE), regions.where(F.col("members") <= LARGE)
+    if not large.isEmpty():
+        beside = central(large, pct, seed)
+        met = written(distances(beside.select("pivot", "doc").distinct(), texts, n, pct, hot), "divided")
+        seen = met.select(seen.columns)
+        # The triangle window: what links to one outside of the ball is outside of a smaller one.
+        outer = met.where(F.col("common") * 100 < F.col("total") * (200 - BALL - pct)).select("pivot", "doc")
+        small = small.unionByName(regions_of(beside.join(outer, ["pivot", "doc"])))
+        met = met.where(F.col("common") * 100 >= F.col("total") * (100 - BALL))
+        looked = within_pivot(met, pct).unionByName(probes(met, pct, seed))
+        for _ in range(2):  # first what is likely to link, then all that still can
+            pairs = _both(looked).distinct().join(_both(seen), ["x", "y"], "left_anti")
+            pairs = pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc"))
+            pairs = written(near_enough(pairs, texts, pct), "pairs")
+            seen = seen.unionByName(written(distances(pairs, texts, n), "distances"))
+            edges = linked_pairs(seen)
+            comp = told_apart(told_apart(comp, edges), edges)
+            looked = _allowed(divided(met, comp, pct), pct)
+    # Large regions are done with.
+    regions = written(opened(small), "regions")
+    pairs = _both(_allowed(regions, pct)).distinct().join(_both(seen), ["x", "y"], "left_anti")
+    pairs = written(pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc")), "pairs")
+    new = written(distances(pairs, texts, n), "distances")
+    seen = seen.unionByName(new)
+    links = linked_pairs(new)
+    edges = edges.unionByName(links)
+    comp = told_apart(comp, links)
+    rest = regions.where("members > 2").select("gram", "doc", "size", "pivot")
     far = seen.select("pivot", "doc", (1 - F.col("common") / F.col("total")).alias("far"))
+    far = far.unionByName(far.select(F.col("doc").alias("pivot"), F.col("pivot").alias("doc"), "far")).distinct()
     rest = rest.join(far, ["pivot", "doc"], "left").where("pivot <> doc").select("gram", "doc", "size", "far")
     pivots = FIRST
     while True:
@@ -309,8 +466,7 @@ def similarity_classes(
             chosen = chosen.join(theirs, "pivot")
             near = near & (F.array_min(F.array_intersect("grams", "pivot_grams")) == F.col("gram"))
         met = met.join(chosen, "gram").where(F.col("comp") != F.col("pivot_comp")).where(near)
-        both = lambda df: df.select(F.least("pivot", "doc").alias("x"), F.greatest("pivot", "doc").alias("y"))
-        pairs = both(_allowed(met, pct)).distinct().join(both(seen), ["x", "y"], "left_anti")
+        pairs = _both(_allowed(met, pct)).distinct().join(_both(seen), ["x", "y"], "left_anti")
         pairs = pairs.select(F.col("x").alias("pivot"), F.col("y").alias("doc"))
         pairs = written(near_enough(pairs, texts, pct), "pairs")
         rest = held.where(F.col("rank") > pivots).select("gram", "doc", "size", "far")
@@ -319,7 +475,7 @@ def similarity_classes(
         if not pairs.isEmpty():
             new = written(distances(pairs, texts, n), "distances")
             seen = seen.unionByName(new)
-            links = new.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+            links = linked_pairs(new)
             if not links.isEmpty():
                 edges = edges.unionByName(links)
                 comp = told_apart(comp, links)

@@ -503,3 +503,28 @@ def test_license_query_keeps_every_page_apart(spark, tmp_path):
     assert {k: r.own for k, r in got.items()} == {1: "MIT", 2: "CC-BY-NC-4.0", 3: None, 4: "MIT", 5: None, 6: None, 7: "MIT", 8: None}
     assert got[3].origin == got[8].origin == "h.org/a" and got[3].licence and got[8].licence
     assert got[5].licence is got[6].licence is None and got[4].path is None
+
+
+def test_ngram_join_divides_a_large_region(spark, monkeypatch):
+    rng = random.Random(8)
+    copies = []
+    for base in range(2):
+        words = [f"w{base}x{k}" for k in range(120)]
+        for _ in range(170):
+            text = list(words)
+            for k in rng.sample(range(len(text)), rng.choice([1, 1, 2, 4, 5, 6])):
+                text[k] = f"e{rng.randrange(rng.choice([9, 10**9]))}"
+            copies.append(" ".join(text[: rng.choice([120, 119, 100])]))
+    df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    looked = []
+    real = ngram_join.near_enough
+
+    def near_enough(pairs, texts, pct):
+        looked.append(pairs.count())
+        return real(pairs, texts, pct)
+
+    monkeypatch.setattr(ngram_join, "near_enough", near_enough)
+    monkeypatch.setattr(ngram_join, "LARGE", 8, raising=False)
+    assert rows_of(ngram_join.similarity_classes(df)) == brute_classes(dict(enumerate(copies)))
+    # All pairs of a base are 14,365.
+    assert sum(looked) < 6000
